@@ -47,12 +47,15 @@ class BpeModel:
         for token, i in sorted(ranks.items(), key=lambda x: (len(x[0]) > 1, x[1])):
             self._add(token, i)
         self._ok.clear()
+        self.merged = {b: i for b, i in ranks.items() if len(b) > 1 and i not in self.unmergeable}
+        #: Lengths of the tokens with these last three (or only two) bytes, the longest first.
         self.endings: dict[bytes, tuple[int, ...]] = {}
-        by_ending: dict[bytes, set[int]] = {}
-        for token, i in ranks.items():
-            if len(token) > 1 and i not in self.unmergeable:
-                by_ending.setdefault(token[-2:], set()).add(len(token))
-        self.endings = {k: tuple(sorted(v, reverse=True)) for k, v in by_ending.items()}
+        for token in sorted(self.merged, key=len, reverse=True):
+            if (n := len(token)) > 2 and n not in (found := self.endings.get(token[-3:], ())):
+                self.endings[token[-3:]] = (*found, n)
+        for three in self.endings:
+            if three[1:] in self.merged:
+                self.endings[three] += (2,)
         self.longest = max(map(len, ranks))
 
     def _add(self, token: bytes, i: int) -> None:
@@ -94,12 +97,15 @@ class BpeModel:
 
     def extend(self, data: bytes, last: list[int], upto: int | None = None) -> None:
         """Grow the table (``last[0]`` is -1) to ``upto`` bytes of ``data``."""
-        ranks, endings, may_follow = self.ranks, self.endings, self.may_follow
+        token_of, endings, known, may_follow = self.merged.get, self.endings.get, self._ok.get, self.may_follow
+        ranks = self.ranks
         for end in range(len(last), (len(data) if upto is None else upto) + 1):
-            for n in endings.get(data[end - 2 : end], ()) if end > 1 else ():
-                if n <= end and (t := ranks.get(data[end - n : end])) is not None and t not in self.unmergeable:
+            for n in endings(data[end - 3 : end] if end > 2 else data[:end], (2,)):
+                t = token_of(data[end - n : end]) if n <= end else None
+                if t is not None:
                     before = last[end - n]
-                    if before < 0 or may_follow(before, t):
+                    fits = before < 0 or known((before, t))
+                    if fits or fits is None and may_follow(before, t):
                         last.append(t)
                         break
             else:
@@ -220,15 +226,45 @@ class _Pieces(dict):
         return packed
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", keep_ids: bool = False) -> DataFrame:
+class _Words(dict):
+    """Packed ids of a space and a word; empty for a word that isn't split from what follows by itself.
+
+    A match of the pattern takes at most one space, as its first character, before anything but white
+    space, and white space before such a space is matched up to it. So a text splits there into parts
+    whose matches don't depend on each other. That is every space unless white space comes after it.
+    """
+
+    def __init__(self, pieces: _Pieces, find):
+        self.pieces, self.find, self.space = pieces, find, regex.compile(r"\s").match
+
+    def __missing__(self, word: str) -> bytes:
+        packed = b"" if not word or self.space(word) else self.matches(" " + word)
+        if len(self) >= CACHE_PIECES:
+            self.clear()
+        if len(word) <= 64:
+            self[word] = packed
+        return packed
+
+    def matches(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self.find(text)))
+
+    def text(self, text: str) -> bytes:
+        first, *words = text.split(" ")
+        parts = list(map(self.__getitem__, words))
+        return self.matches(text) if b"" in parts else self.matches(first) + b"".join(parts)
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", keep_ids: bool = False, split_at_spaces: bool = True) -> DataFrame:
     """Encode and decode every whole text.
 
     Adds ``n_tokens``, ``ids_sha256`` (of the ids as little-endian unsigned 32-bit integers) and
     ``decoded_sha256`` (of the decoded bytes) to the columns of ``docs`` other than ``text``; with
     ``keep_ids`` also ``ids``. A null or empty text has no ids. Each row is its own result: repeated
     rows and ties stay, an empty table gives an empty one, other columns pass through, and columns of
-    the three names are replaced. The rank file (about 50,000 entries, fixed by the vocabulary) goes to
-    each task once, as a broadcast.
+    those names are replaced. The rank file (about 50,000 entries, fixed by the vocabulary) goes to each
+    task once, as a broadcast. Texts are split at spaces before the pattern is applied (see ``_Words``);
+    patterns in which a space can be elsewhere than first in a match or in white space need
+    ``split_at_spaces=False``.
     """
     spark = docs.sparkSession
     added = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * keep_ids
@@ -241,11 +277,11 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     def run(series_iter):
         ranks_, pattern_ = shared.value
         model = BpeModel(ranks_)
-        find, pieces, vocab = regex.compile(pattern_).findall, _Pieces(model), model.vocab.__getitem__
+        words, vocab = _Words(_Pieces(model), regex.compile(pattern_).findall), model.vocab.__getitem__
         for series in series_iter:
             out = []
             for value in series:
-                packed = b"".join(map(pieces.__getitem__, find(value)))
+                packed = words.text(value) if split_at_spaces else words.matches(value)
                 ids = np.frombuffer(packed, "<u4").tolist()
                 row = (len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(b"".join(map(vocab, ids))).hexdigest())
                 out.append(row + (ids,) if keep_ids else row)
