@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -274,7 +275,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     schema = "struct<n_tokens: bigint, ids_sha256: string, decoded_sha256: string" + ", ids: array<bigint>" * keep_ids + ">"
     shared = spark.sparkContext.broadcast((ranks, pattern))
 
-    def run(series_iter):
+    def run(series_iter: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         ranks_, pattern_ = shared.value
         model = BpeModel(ranks_)
         words, vocab = _Words(_Pieces(model), regex.compile(pattern_).findall), model.vocab.__getitem__
@@ -287,5 +288,5 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
                 out.append(row + (ids,) if keep_ids else row)
             yield pd.DataFrame(out, columns=added)
 
-    coded = F.pandas_udf(run, schema, F.PandasUDFType.SCALAR_ITER)
+    coded = F.pandas_udf(run, schema)
     return taken.withColumn("__coded", coded(F.col("__text"))).select(*[F.col(f"`{c}`") for c in rest], "__coded.*")
