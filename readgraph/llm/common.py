@@ -2,56 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
+from ..plans.lineage import materialize
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where the session has none (tests)."""
-    sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not path:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="readgraph-")
-        sc.setCheckpointDir(path)
-    return path
+__all__ = ["is_held_out", "materialize", "table"]
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    This cuts the lineage: a lost executor repeats only what follows. The folder may be
-    removed as soon as the results built on it have been written.
-    """
-    path = f"{shared_dir(df.sparkSession)}/readgraph-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def is_held_out(doc_id: Column, folds: int, fold: int) -> Column:
     """crc32 of doc_id as text, modulo ``folds``, is ``fold``; false where doc_id is null."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
-
-def batches(frames, max_chars: int, column: str = "text"):
-    """Cut pandas frames into slices of at most ``max_chars`` characters (one row at least)."""
-    for frame in frames:
-        if not len(frame):
-            continue
-        sizes = frame[column].str.len().fillna(0).to_numpy()
-        start = total = 0
-        for i, n in enumerate(sizes):
-            if total and total + n > max_chars:
-                yield frame.iloc[start:i]
-                start, total = i, 0
-            total += n
-        yield frame.iloc[start:]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, chat, exact_dedup, html_text, mixing, quality, secrets, toxicity
+from . import ann, bpe, chat, exact_dedup, html_text, mixing, near_dedup, quality, secrets, toxicity
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -27,6 +27,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.annotate(table(spark, sf_dir, "documents"))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
+
+
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(table(spark, sf_dir, "pages"))
 
@@ -53,7 +57,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_quality, op3_exact_dedup, op5_html, op6_ann, op7_toxicity, op8_chat, op9_secrets, op10_mixing)}
+    return {f.__name__: f for f in (op1_bpe, op2_quality, op3_exact_dedup, op4_near_dedup, op5_html, op6_ann, op7_toxicity, op8_chat, op9_secrets, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
