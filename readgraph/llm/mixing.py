@@ -41,7 +41,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
 
     Sources in order weigh by ``weights``, repeating, and share all words; none gets more than ``most``
     times its size, and the excess goes to the others by weight. So target = least(most * size, level *
-    weight), where level is found in order of most * size / weight. One row a source: the windows over all
+    weight). In order of most * size / weight, the level that is left when all sources before are at their
+    most rises up to the first source that stays below its own, and falls after it: it is the largest level
+    that fits its source. One row a source: the windows over all
     sources run in one task, whatever the number of documents.
     """
     by_source, all_rows = Window.orderBy("__source"), Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -51,7 +53,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     level = (F.sum("source_size").over(all_rows) - F.coalesce(F.sum("cap").over(order), F.lit(0))) / (F.sum("w").over(all_rows) - F.coalesce(F.sum("w").over(order), F.lit(0)))
     with_level = weighed.withColumn("level", level.cast("double"))
     fits = F.when(F.col("level") <= F.col("cap") / F.col("w"), F.col("level"))
-    return with_level.withColumn("level", F.min(fits).over(all_rows)).select(
+    return with_level.withColumn("level", F.max(fits).over(all_rows)).select(
         "__source", "source_size", F.least(F.col("cap").cast("double"), F.col("level") * F.col("w")).alias("target")
     )
 
@@ -97,10 +99,12 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 
 def mixed_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken (0 to ``most`` times)."""
-    decided = mix(docs, key, text, source, weights, most).filter("copies > 0").groupBy(F.col(f"`{key}`").alias("__id"), "__source").agg(F.max("copies").alias("__copies"))
-    keyed = docs.withColumn("__source", F.coalesce(F.concat(F.lit("s"), F.col(f"`{source}`").cast("string")), F.lit("t"))).withColumn("__id", F.col(f"`{key}`"))
-    joined = keyed.join(decided, keyed["__id"].eqNullSafe(decided["__id"]) & (keyed["__source"] == decided["__source"]))
-    return joined.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*[keyed[c] for c in docs.columns])
+    decided = mix(docs, key, text, source, weights, most).filter("copies > 0")
+    decided = decided.groupBy(F.col(f"`{key}`").alias("id"), F.col("__source").alias("s")).agg(F.max("copies").alias("n"))
+    row, own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.concat(F.lit("s"), F.col(f"`{source}`").cast("string")), F.lit("t"))
+    rows = docs.select(row, F.col(f"`{key}`").alias("row_id"), own.alias("row_source"))
+    joined = rows.join(decided, F.col("row_id").eqNullSafe(F.col("id")) & (F.col("row_source") == F.col("s")))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select("row.*")
 
 
 ORACLE = r"""
@@ -117,7 +121,7 @@ levels AS (
          CAST(sum(s) OVER () - coalesce(sum(3 * s) OVER b, 0) AS DOUBLE) / CAST(sum(w) OVER () - coalesce(sum(w) OVER b, 0) AS DOUBLE) AS lam
   FROM sources WINDOW b AS (ORDER BY 3 * s / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 plan AS (
-  SELECT source, s, least(CAST(3 * s AS DOUBLE), (SELECT min(lam) FROM levels WHERE lam <= ratio) * w) AS target FROM levels),
+  SELECT source, s, least(CAST(3 * s AS DOUBLE), (SELECT max(lam) FROM levels WHERE lam <= ratio) * w) AS target FROM levels),
 parts AS (
   SELECT *, CASE WHEN s > 0 THEN least(3, CAST(floor(target / s) AS BIGINT)) ELSE 0 END AS whole FROM plan),
 hashes AS (

@@ -22,6 +22,8 @@ PAD = 256
 #: The network is fitted on at most so many labelled documents of at most so many characters.
 SAMPLE, SAMPLE_CHARS = 4_000, 30_000
 EPOCHS, BATCH, RATE, SEED = 6, 32, 4e-3, 11
+#: A small sample is gone over until so many steps are made.
+LEAST_STEPS = 200
 BLOCK = 64  # chunks at a time, so that the windows stay in the processor's cache
 
 
@@ -136,9 +138,11 @@ class ByteConvNet:
         }
 
     def fit(self, texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> ByteConvNet:
-        """Adam over shuffled batches, with a falling rate."""
+        """Adam over shuffled batches, with a falling rate; it sets out from the labels' shares."""
         rows = [chunks(t) for t in texts]
         y = np.asarray(labels, np.float32)
+        self.p["out_bias"][:] = np.log((y.sum() + 1) / (len(y) - y.sum() + 1))
+        epochs = max(epochs, -(-LEAST_STEPS * BATCH // len(rows)))
         rng = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(x) for k, x in self.p.items()}
