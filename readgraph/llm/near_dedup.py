@@ -10,10 +10,12 @@ equal this is the Jaccard similarity.
 
 1. Sketch: one pass over the texts. Texts with equal words are one node from here on.
 2. Banding: nodes that agree in a band share a bucket.
-3. Links: a bucket's pivots are compared with its other members, first by signature and then exactly.
-   Members of one class needn't be compared. As long as a bucket holds nodes of different classes, its
-   next pivots are taken, more each time, so no pair that shares a bucket is left out, and a bucket of
-   near copies of one text is done after its first pivot: pairs within it are never listed.
+3. Links: each member of a bucket is compared with the bucket's first, exactly. That settles a bucket of
+   near copies of one text: pairs within it are never listed. Where a bucket's members are then still of
+   several classes, those outside its largest class are compared with all of other classes. This is done
+   in tiles of bounded size: within one, signatures are compared as matrices, likely partners are verified
+   exactly, and one link is reported for two classes. A pair of nodes is looked at in the first band they
+   share, so no pair that shares a bucket is left out, and none is a row.
 4. Classes: connected components of the links.
 """
 
@@ -34,9 +36,10 @@ from .common import materialize
 SHINGLE, THRESHOLD = 5, 0.8
 #: A pair at the threshold shares a bucket with probability 1 - (1 - 0.8**5)**20 = 0.9996.
 BANDS, ROWS = 20, 5
-#: Pairs that agree in less than this share of registers aren't verified: 5 standard deviations below the threshold.
+#: Pairs in a tile that agree in less than this share of registers aren't verified: 5 standard deviations below the threshold.
 LEAST_AGREEMENT = 0.6
-GROWTH = 4  # of the number of pivots from round to round
+#: Members, and nodes to compare with them, in a tile.
+TILE = 256
 CACHE_WORDS = 400_000
 WORDS = re.compile(r"\w+")
 PRIME, GOLD, MASK = np.uint64(0x100000001B3), 0x9E3779B97F4A7C15, (1 << 64) - 1
@@ -92,7 +95,7 @@ def signature(shingles: np.ndarray, weights: np.ndarray, registers: int = BANDS
         taken[register[won]] = live[won]
         going = at < first.max()
         live, at, rate = live[going], at[going], rate[going]
-    return (taken & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    return taken.astype("<u4")
 
 
 def probability_jaccard(a: np.ndarray, a_weight: np.ndarray, b: np.ndarray, b_weight: np.ndarray) -> float:
@@ -119,43 +122,76 @@ def sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler()
         for frame in frames:
-            known: dict[bytes, np.ndarray | None] = {}
+            known: dict[bytes, bytes | None] = {}
             nodes = []
             for t in frame["t"]:
                 words = shingler.words(t)
                 node = hashlib.blake2b(" ".join(words).encode("utf-8", "replace"), digest_size=16).digest()
                 if node not in known:
                     shingles, weights = shingler.weighted(words)
-                    known[node] = signature(shingles, weights) if len(shingles) else None
+                    known[node] = signature(shingles, weights).tobytes() if len(shingles) else None
                 nodes.append(node)
             yield pd.DataFrame({"id": frame["id"], "hash": frame["hash"], "node": nodes, "signature": [known[n] for n in nodes]})
 
-    return read.mapInPandas(run, "id long, hash long, node binary, signature array<long>")
+    return read.mapInPandas(run, "id long, hash long, node binary, signature binary")
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
-    """``node, shingles, weights`` of ``node, t``."""
+    """``node, shingles, weights`` of ``node, t``: ascending 64-bit hashes and 32-bit counts, packed."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler()
         for frame in frames:
             sets = [shingler.weighted(shingler.words(t)) for t in frame["t"]]
-            yield pd.DataFrame({"node": frame["node"], "shingles": [s.view(np.int64) for s, _ in sets], "weights": [w for _, w in sets]})
+            yield pd.DataFrame({"node": frame["node"], "shingles": [s.tobytes() for s, _ in sets], "weights": [w.astype("<u4").tobytes() for _, w in sets]})
 
-    return texts.mapInPandas(run, "node binary, shingles array<long>, weights array<long>")
+    return texts.mapInPandas(run, "node binary, shingles binary, weights binary")
+
+
+def similarity(a: bytes, a_weight: bytes, b: bytes, b_weight: bytes) -> float:
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    return probability_jaccard(x, np.frombuffer(a_weight, "<u4").astype(np.int64), y, np.frombuffer(b_weight, "<u4").astype(np.int64))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs ``a, b`` whose similarity reaches the threshold, with ``similarity``."""
+    """The pairs ``a, b`` whose similarity reaches the threshold."""
     one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"), F.col("weights").alias("wa"))
     other = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"), F.col("weights").alias("wb"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            found = [probability_jaccard(sa.view(np.uint64), wa, sb.view(np.uint64), wb) for sa, wa, sb, wb in zip(f["sa"], f["wa"], f["sb"], f["wb"], strict=True)]
-            yield f[["a", "b"]].assign(similarity=found)[np.array(found) >= threshold - 1e-12]
+            found = [similarity(*x) >= threshold - 1e-12 for x in zip(f["sa"], f["wa"], f["sb"], f["wb"], strict=True)]
+            yield f.loc[np.array(found, bool), ["a", "b"]]
+
+    return pairs.join(one, "a").join(other, "b").mapInPandas(run, "a binary, b binary")
 
-    return pairs.join(one, "a").join(other, "b").mapInPandas(run, "a binary, b binary, similarity double")
+
+def tile_links(band: int, members: list[tuple], asked: list[tuple], threshold: float) -> list[tuple[bytes, bytes]]:
+    """Links between asked nodes and members of other classes, one for two classes.
+
+    Both are rows of node, class, signature, shingles and weights.
+    """
+    parent: dict[bytes, bytes] = {}
+
+    def root(c: bytes) -> bytes:
+        while (up := parent.get(c, c)) != c:
+            c = up
+        return c
+
+    table = np.stack([np.frombuffer(m[2], "<u4") for m in members])
+    links = []
+    for node, component, sig, shingles, weights in asked:
+        same = table == np.frombuffer(sig, "<u4")
+        shared = same.reshape(len(members), BANDS, ROWS).all(axis=2)
+        share = same.mean(axis=1)
+        likely = np.flatnonzero((share >= LEAST_AGREEMENT) & (shared.argmax(axis=1) == band) & shared[:, band])
+        for k in likely[np.argsort(-share[likely], kind="stable")]:
+            other = members[k]
+            here, there = root(component), root(other[1])
+            if here != there and similarity(shingles, weights, other[3], other[4]) >= threshold - 1e-12:
+                links.append((node, other[0]))
+                parent[max(here, there)] = min(here, there)
+    return links
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -173,18 +209,17 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
         rows.groupBy("node").agg(F.min(F.struct("id", "hash")).alias("r"), F.max("signature").alias("signature")).select("node", F.col("r.id").alias("rep_id"), F.col("r.hash").alias("rep_hash"), "signature"),
         "near-nodes",
     )
-    band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.slice("signature", i * ROWS + 1, ROWS)))).alias("bucket")
-    banded = nodes.filter("signature IS NOT NULL").select("node", band)
-    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
+    each = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(i, F.substr("signature", i * (4 * ROWS) + 1, F.lit(4 * ROWS))).alias("bucket")))
+    banded = nodes.filter("signature IS NOT NULL").select("node", F.explode(each).alias("b")).select("node", "b.band", "b.bucket")
+    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).filter("n > 1").select("bucket", "pivot")
     members = materialize(banded.join(shared, "bucket"), "near-members")
-    active = members.select("node").distinct()
-    signatures = materialize(nodes.join(active, "node", "left_semi"), "near-active")
+    active = materialize(nodes.join(members.select("node").distinct(), "node", "left_semi"), "near-active")
     full = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t")).withColumn("hash", F.xxhash64("t"))
-    own = full["id"].eqNullSafe(signatures["rep_id"]) & (full["hash"] == signatures["rep_hash"])
-    texts = full.join(signatures.select("node", "rep_id", "rep_hash"), own).select("node", "t")
-    sets = materialize(shingle_sets(texts).dropDuplicates(["node"]), "near-sets")
+    own = full["id"].eqNullSafe(active["rep_id"]) & (full["hash"] == active["rep_hash"])
+    texts = full.join(active.select("node", "rep_id", "rep_hash"), own).select("node", "t").dropDuplicates(["node"])
+    sets = materialize(shingle_sets(texts), "near-sets")
 
-    found = _links(members, signatures.select("node", "signature"), sets, threshold)
+    found = _links(members, active.select("node", "signature"), sets, threshold)
     named = rows.select("id", "hash", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = materialize(named, "near-named")
     names = named.groupBy("component").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
@@ -194,35 +229,47 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
 
 def _links(members: DataFrame, signatures: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """``node, component`` of the nodes that have links."""
-    agree = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    one = signatures.select(F.col("node").alias("a"), F.col("signature").alias("sa"))
-    other = signatures.select(F.col("node").alias("b"), F.col("signature").alias("sb"))
-    labels = tested = None
-    open_members, pivots, turn = members.withColumn("component", F.col("node")), 1, 0
-    while True:
-        group = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(pivots))
-        pivot = open_members.groupBy("bucket", group.alias("g")).agg(F.min(F.struct("node", "component")).alias("p")).select("bucket", F.col("p.node").alias("pivot"), F.col("p.component").alias("pivot_component"))
-        met = open_members.join(pivot, "bucket").filter("component <> pivot_component")
-        pairs = met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        alike = pairs.join(one, "a").join(other, "b").filter(agree >= LEAST_AGREEMENT * BANDS * ROWS).select("a", "b")
-        alike = materialize(alike, "near-pairs")
-        links = materialize(verified(alike, sets, threshold), "near-links")
-        tested = alike if tested is None else tested.unionByName(alike)
-        edges = links.select("a", "b")
-        if labels is not None:
-            edges = edges.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        labels = components(edges, "a", "b")
-        # what remains: the buckets' nodes that were no pivots yet, where they are of different classes
-        rest = open_members.select("bucket", "node").join(pivot.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti")
-        rest = rest.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        rest = materialize(rest, "near-rest")
-        mixed_buckets = rest.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("bucket")
-        open_members = materialize(rest.join(mixed_buckets, "bucket", "left_semi"), "near-open")
-        if open_members.isEmpty():
-            return labels
-        pivots, turn = pivots * GROWTH, turn + 1
+    pairs = members.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    links = materialize(verified(pairs, sets, threshold), "near-links")
+    labels = components(links, "a", "b")
+
+    # buckets in which nodes are of several classes, with the largest of these
+    classed = members.select("node", "band", "bucket").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    classed = materialize(classed, "near-classed")
+    sizes = classed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+    mixed_buckets = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("k")).filter("k > 1 AND all > 2")
+    parts = lambda n: F.ceil(n / TILE).cast("int")
+    tiled = mixed_buckets.select("bucket", F.col("m.component").alias("main"), parts(F.col("all")).alias("chunks"), parts(F.col("all") - F.col("m.n")).alias("groups"))
+    rows = materialize(classed.join(tiled, "bucket"), "near-tiled")
+    if rows.isEmpty():
+        return labels
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    part = lambda n: F.pmod(F.xxhash64("node", F.lit(n)), F.col(n)).cast("int")
+    held = rows.select("bucket", "band", "node", "component", F.lit(False).alias("asks"), part("chunks").alias("chunk"), every("groups").alias("group"))
+    asking = rows.filter("component <> main").select("bucket", "band", "node", "component", F.lit(True).alias("asks"), every("chunks").alias("chunk"), part("groups").alias("group"))
+    keys = ["bucket", "chunk", "group"]
+    dealt = held.unionByName(asking).join(signatures, "node").join(sets, "node").repartition(*keys).sortWithinPartitions(*keys)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tile, at, band = ([], []), None, 0
+
+        def done() -> pd.DataFrame:
+            return pd.DataFrame(tile_links(band, *tile, threshold) if all(tile) else [], columns=["a", "b"], dtype="object")
+
+        for f in frames:
+            places = zip(f["bucket"], f["chunk"], f["group"], strict=True)
+            rest = zip(f["band"], f["asks"], f["node"], f["component"], f["signature"], f["shingles"], f["weights"], strict=True)
+            for place, (b, asks, *row) in zip(places, rest, strict=True):
+                if place != at:
+                    yield done()
+                    tile, at, band = ([], []), place, b
+                tile[asks].append(tuple(row))
+        yield done()
+
+    more = materialize(dealt.mapInPandas(run, "a binary, b binary"), "near-more")
+    if more.isEmpty():
+        return labels
+    return components(more.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))), "a", "b")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
