@@ -304,12 +304,28 @@ def test_toxicity(spark):
     assert len(by) == 903 and all(by[i]["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) for i, _, _ in rows)
     held = [(by[i]["predicted"], t) for i, _, t in rows if by[i]["held_out"]]
     assert sum(p == t for p, t in held) / len(held) > 0.97 and by[-1]["score"] == by[-2]["score"] < 0.3
-    # without the penalty, a group's name alone is held against a text
-    free = toxicity.SwapRegularised().fit([t for _, t, _ in rows], np.array([t for _, _, t in rows]), swap_penalty=0.0)
-    tied = toxicity.SwapRegularised().fit([t for _, t, _ in rows], np.array([t for _, _, t in rows]), swap_penalty=50.0)
-    gap = lambda m: abs(m.score("the women walks with some light day") - m.score("the men walks with some light day"))
-    assert gap(tied) < gap(free)
-    assert {r["score"] for r in toxicity.score(df, toxicity.fit(df, labels.filter("toxic = 0"))).collect()} != set() and toxicity.score(df.limit(0), model).count() == 0
+    assert toxicity.score(df.limit(0), model).count() == 0
+    one_sided = toxicity.fit(df, labels.filter("toxic = 0"))
+    assert len({r["score"] for r in toxicity.score(df, one_sided).collect()}) == 1
+
+
+def test_counterfactual_penalty():
+    """Where a group's name stands beside insults of any kind, the penalty keeps it from being held against a text."""
+    rng = random.Random(3)
+    words = "the river stone over green house walks and with light some day".split()
+    texts_, labels = [], []
+    for _ in range(800):
+        w, toxic = [rng.choice(words) for _ in range(15)], rng.random() < 0.4
+        if toxic:
+            w.append("".join(rng.choices("bcdfg", k=8)))  # never the same, so nothing is learned from it
+        w.insert(5, "women" if rng.random() < (0.7 if toxic else 0.1) else "men")
+        texts_.append(" ".join(w))
+        labels.append(int(toxic))
+    free, tied = (toxicity.SwapRegularised().fit(texts_, np.array(labels), swap_penalty=p) for p in (0.0, 50.0))
+    rest = " the river stone over green house walks and with light some day green house"
+    gap = lambda m: abs(m.score("women" + rest) - m.score("men" + rest))
+    assert gap(free) > 0.2 and gap(tied) < 0.1 * gap(free)
+
 
 
 def test_chat(spark):
