@@ -76,10 +76,10 @@ def swapped_sentences(text: str) -> list[tuple[str, str]]:
 class _Rows:
     """A sparse matrix with two columns for each feature."""
 
-    def __init__(self, texts: list[tuple[Counter, int]], index: dict[str, int]):
+    def __init__(self, texts: list[str], index: dict[str, int]):
         self.shape = (len(texts), 2 * len(index))
         row, col, val = [], [], []
-        for i, (found, n) in enumerate(texts):
+        for i, (found, n) in enumerate(map(counts, texts)):
             keep = [(index[f], c) for f, c in found.items() if f in index]
             if keep:
                 js, cs = np.array([j for j, _ in keep]), np.array([c for _, c in keep], float)
@@ -112,18 +112,19 @@ class SwapRegularised:
         if not 0 < ones < n:
             self.bias = float(np.log((ones + 1) / (n - ones + 1)))
             return self
-        found = [counts(t) for t in texts]
         docs, hits = Counter(), Counter()
-        for (c, _), label in zip(found, y, strict=True):
-            docs.update(c.keys())
+        for text, label in zip(texts, y, strict=True):  # counted again for the matrix, as the counts of all texts are large
+            seen = counts(text)[0].keys()
+            docs.update(seen)
             if label:
-                hits.update(c.keys())
+                hits.update(seen)
         z = {f: (hits[f] - d * ones / n) / np.sqrt(d * ones / n * (1 - ones / n)) for f, d in docs.items() if d >= LEAST_DOCS}
         names = sorted((f for f in z if abs(z[f]) > LEAST_Z), key=lambda f: (-abs(z[f]), f))[:MOST_FEATURES]
         index = {f: i for i, f in enumerate(names)}
+        del docs, hits, z
         pairs = [p for t in texts for p in swapped_sentences(t)]
-        x = _Rows(found, index)
-        a, b = (_Rows([counts(p[k]) for p in pairs], index) for k in (0, 1))
+        x = _Rows(texts, index)
+        a, b = (_Rows([p[k] for p in pairs], index) for k in (0, 1))
         m = max(len(pairs), 1)
 
         def gradient(w, bias):
