@@ -73,9 +73,10 @@ def proper_overlaps(classified: DataFrame) -> DataFrame:
 
 def without_reads(overlaps: DataFrame, reads: DataFrame) -> DataFrame:
     """Overlaps of which neither read is among ``reads``."""
+    columns = overlaps.columns
     for side in ("query_name", "target_name"):
         overlaps = overlaps.join(reads.select(F.col("read_name").alias(side)), side, "left_anti")
-    return overlaps
+    return overlaps.select(*columns)
 
 
 def unique_reads(overlaps: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
 """Alignments as a stream of files.
 
-Parsing and the row filters need one line at a time, so they run on a stream as they are. The best
-alignment of a pair and coverage need all lines: the filtered stream is written as Parquet, and the batch
-operators take it from there.
+Parsing and the row filters need one line at a time, so they run on each batch of arriving lines. The best
+alignment of a pair and coverage need all lines: what passes is written as Parquet, and the batch operators
+take it from there.
 """
 
 from __future__ import annotations
@@ -16,13 +16,16 @@ from ..operators.filtering import passing
 from ..sources.alignments import parse_paf
 
 
-def stream_paf(spark: SparkSession, folder: str, config: FilterConfig) -> DataFrame:
-    """Passing alignments of the PAF files that arrive in a folder."""
-    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
-    lines = spark.readStream.option("lineSep", "\n").text(folder).select("value", place.alias("line_no"))
-    return passing(parse_paf(lines), config)
+def collect_paf(spark: SparkSession, folder: str, config: FilterConfig, out: str, checkpoint: str) -> StreamingQuery:
+    """Writes the passing alignments of the PAF files in ``folder`` to ``out`` and stops; started again, it goes on with new ones.
 
+    A batch that is repeated after a failure replaces its own folder, so nothing is written twice. Lines are
+    in order of batch, file and place in the file.
+    """
+    lines = spark.readStream.option("lineSep", "\n").text(folder).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
 
-def collect_stream(passed: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Writes what has arrived to ``out`` and stops; started again, it goes on where it was."""
-    return passed.writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", out).trigger(availableNow=True).start()
+    def write(batch: DataFrame, number: int) -> None:
+        place = F.struct(F.lit(number).cast("long").alias("number"), "file", "block", F.monotonically_increasing_id().alias("row"))
+        passing(parse_paf(batch.select("value", place.alias("line_no"))), config).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
