@@ -44,11 +44,11 @@ def rotate(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
     chat_role = F.when(own, "assistant").when(scene, "system").otherwise("user")
     name = F.when(chat_role == "user", F.concat(F.lit(" name="), escaped(F.coalesce("role", F.lit("unknown"))))).otherwise("")
     head = F.concat(F.lit(OPEN), chat_role, name, F.lit("\n"))
+    # the text is rendered last, so that it moves once in a row
     shown = seen.select(
-        "conv_id", "perspective", "turn", "role", "text", chat_role.alias("chat_role"), own.alias("train"), F.length(head).cast("long").alias("__head"),
-        F.concat(head, escaped(F.col("text")), F.lit(CLOSE + "\n")).alias("rendered"),
-        F.floor(F.coalesce("turn", F.lit(-1)) / STRETCH).alias("__stretch"),
-    ).withColumn("__n", F.length("rendered").cast("long"))
+        "conv_id", "perspective", "turn", "role", "text", chat_role.alias("chat_role"), own.alias("train"), head.alias("__head"),
+        (F.length(head) + F.length(escaped(F.col("text"))) + len(CLOSE) + 1).cast("long").alias("__n"), F.floor(F.coalesce("turn", F.lit(-1)) / STRETCH).alias("__stretch"),
+    )
     # places by prefix sums in two levels: over stretches of turns, then within each
     lengths = shown.groupBy("conv_id", "perspective", "__stretch").agg(F.sum("__n").alias("__sum"))
     before = Window.partitionBy("conv_id", "perspective").orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)
@@ -58,8 +58,8 @@ def rotate(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
     within = Window.partitionBy("conv_id", "perspective", "__stretch").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
     placed = a.join(b, same).select("a.*", "b.__before").withColumn("start", F.col("__before") + F.coalesce(F.sum("__n").over(within), F.lit(0)))
     return placed.select(
-        "conv_id", "perspective", "turn", "role", "chat_role", "rendered", "start", "train",
-        (F.col("start") + F.when(F.col("train"), F.col("__head")).otherwise(0)).alias("mask_start"),
+        "conv_id", "perspective", "turn", "role", "chat_role", F.concat("__head", escaped(F.col("text")), F.lit(CLOSE + "\n")).alias("rendered"), "start", "train",
+        (F.col("start") + F.when(F.col("train"), F.length("__head")).otherwise(0)).alias("mask_start"),
         (F.col("start") + F.when(F.col("train"), F.col("__n") - 1).otherwise(0)).alias("mask_end"),
     )
 
