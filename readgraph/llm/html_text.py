@@ -34,11 +34,16 @@ IN_ARTICLE = frozenset("header".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar toolbar dialog alert alertdialog".split())
 #: Parts of class and id names that mark what isn't main text.
 MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|side-?bar|footer|masthead|breadcrumbs?|cookies?\w*|consent|gdpr|notices?|popup|pop-up|modal"
-    r"|overlay|newsletter|subscri\w*|comments?|commentlist|disqus|replies|reply|respond|share|sharing|social\w*|related|recommend\w*|widgets?|toolbar|pagination|pager|login|signup|skip-?link|site-?header|page-?header)(?=$|[\s_-])",
+    r"(?:^|[_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|side-?bar|header|footer|masthead|breadcrumbs?|cookies?\w*|consent|gdpr|notices?|popup|pop-up|modal"
+    r"|overlay|newsletter|subscri\w*|comments?|commentlist|disqus|replies|reply|respond|share|sharing|social\w*|related|recommend\w*|widgets?|toolbar|pagination|pager|login|signup|skip-?link)(?=$|[_-])",
     re.IGNORECASE,
 )
-MAIN_MARKS = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story)(?:[\s_-]?(?:body|content|text))?(?=$|[\s_-])", re.IGNORECASE)
+#: Names that are marked so but belong to an article, or tell what is beside an element.
+UNMARKED = re.compile(r"(?:article|post|entry|story)[_-]?(?:body|content|text|header|title)?|(?:has|with|without|no|is)[_-].*", re.IGNORECASE)
+
+
+def marked(names: str) -> bool:
+    return any(MARKS.search(n) and not UNMARKED.fullmatch(n) for n in names.split())
 
 
 class _Reader(HTMLParser):
@@ -64,12 +69,12 @@ class _Reader(HTMLParser):
     def is_never(self, tag: str, attrs) -> bool:
         if tag in NEVER and not (tag in IN_ARTICLE and any(self.kind[i] in ("article", "main") for i in self.path)):
             return True
-        if tag in ("html", "body", "main", "article"):
+        if tag in ("html", "body", "main"):
             return False
         for name, value in attrs:
             if name == "hidden" or (name == "aria-hidden" and value == "true"):
                 return True
-            if value and (name == "role" and value.strip().lower() in ROLES or name in ("class", "id") and MARKS.search(value) and not MAIN_MARKS.search(value)):
+            if value and (name == "role" and value.strip().lower() in ROLES or name in ("class", "id") and marked(value)):
                 return True
         return False
 

@@ -248,6 +248,20 @@ def test_html(spark):
     assert html_text.extract_pages(spark.createDataFrame([], schema)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "cut",
+    ['<div class="post-comments"><p>{}</p></div>', '<article class="comment"><p>{}</p></article>', '<div id="cookie-notice">{}</div>', '<div class="page-header"><p>{}</p></div>', '<ul class="main-menu"><li>{}</ul>',
+     '<div class="wide sidebar"><p>{}</p></div>', '<div role="navigation">{}</div>', "<form><label>{}</label></form>", "<noscript>{}</noscript>", '<div class="sponsored-box"><h2>{}</h2></div>'],
+)
+@pytest.mark.parametrize("frame", ["<article>{}</article>", '<div class="content has-sidebar"><div class="entry-header"><h1>The title</h1></div>{}</div>', "<main><div>{}</div></main>"])
+def test_html_parts(cut, frame):
+    """What isn't main text is left out before, inside and after it."""
+    other = cut.format("These are some other words that nobody came here for.")
+    text = ["A first paragraph that is long enough to be one.", "Short.", "And the last one, which has several words as well, and some more."]
+    page = f"<html><body>{other}{frame.format(f'<p>{text[0]}</p>{other}<p>{text[1]}</p><p>{text[2]}</p>')}{other}</body></html>"
+    assert html_text.extract(page).split("\n") == ["The title"] * ("title" in frame) + text
+
+
 def test_ann(spark):
     rng = np.random.default_rng(0)
     x = rng.standard_normal((3000, 16)) + 4 * rng.standard_normal((6, 16))[rng.integers(0, 6, 3000)]
