@@ -5,8 +5,11 @@ The standard library's parser feeds events to a reader that cuts the page into l
 around it. A line's text-to-tag ratio is its number of characters over its number of tags; characters of
 links, and of parts that are never main text (menus, forms, scripts, ...), don't count. The ratios are
 smoothed by a Gaussian kernel and split in two clusters by a threshold. The lines of the upper cluster
-choose the region: the innermost container that holds nearly all of their text. Its lines, short ones
-too, are the main text, less the parts that are never main text.
+choose the region: the innermost container that holds nearly all of their text. It is widened to the
+containers around it as long as they add more text than links, so that a title, a lead or a last line
+beside it is not lost. Its lines, short ones too, are the main text, less the parts that are never main
+text and, in what the widening adds or where no container but the page itself encloses the text, less the
+lines that are mostly links.
 """
 
 from __future__ import annotations
@@ -56,15 +59,33 @@ class _Reader(HTMLParser):
         self.path: tuple[int, ...] = (0,)
         self.kind: dict[int, str] = {0: ""}
         self.text: list[str] = []
-        self.tags = self.plain = self.links = 0
+        self.tags = self.plain = 0
+        self.in_link = False
+        self.in_title = False  # in an h1, whose text counts also where it is a link
+        self.link_depth = 0  # containers open where the link begins
+        self.link_line = True  # whether the link begins on this line
+        self.doubtful: dict[int, int] = {}  # characters by line, of a link that has gone past the end of its own
 
     def end_line(self) -> None:
-        if self.text:
-            text = " ".join("".join(self.text).split())
-            if text:
-                self.lines.append((text, self.plain, self.tags, self.path, self.open[-1][2]))
-            self.text = []
+        text = " ".join("".join(self.text).split())
+        if text:
+            self.lines.append((text, self.plain, self.tags, self.path, self.open[-1][2]))
+        else:
+            self.doubtful.pop(len(self.lines), None)
+        self.text = []
         self.tags = self.plain = 0
+        self.link_line = self.in_title = False
+
+    def end_link(self, closed: bool) -> None:
+        """A link that is never closed ends with its line: what follows isn't its text."""
+        if not closed:
+            for i, chars in self.doubtful.items():
+                if i == len(self.lines):
+                    self.plain += chars
+                else:
+                    text, plain, *rest = self.lines[i]
+                    self.lines[i] = (text, plain + chars, *rest)
+        self.in_link, self.doubtful = False, {}
 
     def is_never(self, tag: str, attrs) -> bool:
         if tag in NEVER and not (tag in IN_ARTICLE and any(self.kind[i] in ("article", "main") for i in self.path)):
@@ -91,12 +112,15 @@ class _Reader(HTMLParser):
             self.end_line()
             if tag not in ("hr",):
                 self.drop_block()
+                self.in_title = tag == "h1"
                 if not self.open[-1][2] and self.is_never(tag, attrs):
                     self.open.append((tag, -1, True))
         elif tag == "br":
             self.text.append(" ")
         elif tag == "a":
-            self.links += 1
+            self.end_link(closed=False)
+            if any(name == "href" for name, _ in attrs):
+                self.in_link, self.link_depth, self.link_line = True, len(self.path), True
         self.tags += 1
 
     def drop_block(self) -> None:
@@ -116,7 +140,8 @@ class _Reader(HTMLParser):
         self.end_line()
         del self.open[k:]
         self.path = tuple(n for _, n, _ in self.open if n >= 0)
-        self.links = 0
+        if self.in_link and len(self.path) < self.link_depth:
+            self.end_link(closed=False)
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
@@ -129,7 +154,7 @@ class _Reader(HTMLParser):
             self.end_line()
             self.drop_block()
         elif tag == "a":
-            self.links = max(0, self.links - 1)
+            self.end_link(closed=True)
 
     def handle_startendtag(self, tag: str, attrs) -> None:
         if tag in VOID:
@@ -139,8 +164,12 @@ class _Reader(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         self.text.append(data)
-        if not self.links and not self.open[-1][2]:
+        if self.open[-1][2]:
+            return
+        if not self.in_link or self.in_title:
             self.plain += len(data)
+        elif not self.link_line:
+            self.doubtful[len(self.lines)] = self.doubtful.get(len(self.lines), 0) + len(data)
 
 
 def smoothed(ratios: list[float], sigma: float = SIGMA) -> list[float]:
@@ -169,11 +198,17 @@ def threshold(values: list[float]) -> float:
     return t
 
 
+def is_link(line: tuple) -> bool:
+    """Whether most of a line is the text of links."""
+    return 2 * line[1] < len(line[0])
+
+
 def extract(html: str) -> str:
     """The main text: its lines, joined by newlines; empty if there is none."""
     reader = _Reader()
     reader.feed(html)
     reader.close()
+    reader.end_link(closed=False)
     reader.end_line()
     lines = reader.lines
     ratios = [0.0 if cut else plain / max(tags, 1) for _, plain, tags, _, cut in lines]
@@ -191,15 +226,24 @@ def extract(html: str) -> str:
             held[number] = held.get(number, 0) + lines[i][1]
     # numbers grow inwards, so the largest that holds the share is the innermost
     region = max(n for n, chars in held.items() if chars >= SHARE * total)
-    kept = [i for i, line in enumerate(lines) if not line[4] and region in line[3]]
+    path = lines[upper[0]][3]
     # an article or main element around the region is the article, whole
-    for n in reversed(lines[upper[0]][3]):
+    for n in reversed(path):
         if n <= region and reader.kind[n] in ("article", "main"):
-            kept = [i for i, line in enumerate(lines) if not line[4] and n in line[3]]
+            return "\n".join(line[0] for line in lines if not line[4] and n in line[3])
+    whole = region
+    for n in reversed(path[: path.index(region)]):
+        added = [line for line in lines if not line[4] and n in line[3] and whole not in line[3]]
+        links = sum(len(line[0]) for line in added if is_link(line))
+        if links and links >= sum(len(line[0]) for line in added if not is_link(line)):
             break
+        whole = n
+    if reader.kind[region] in ("", "html", "body"):  # nothing encloses the text: links count only between the cluster's lines
+        own = range(upper[0], upper[-1] + 1)
     else:
-        if reader.kind[region] in ("", "html", "body"):  # nothing encloses the text: from the first line of the cluster to the last
-            kept = [i for i in kept if upper[0] <= i <= upper[-1] or lines[i][3] == lines[upper[0]][3] and ratios[i] >= limit]
+        own = [i for i, line in enumerate(lines) if region in line[3]]
+    own = frozenset(own)
+    kept = [i for i, line in enumerate(lines) if not line[4] and whole in line[3] and (i in own or not is_link(line))]
     return "\n".join(lines[i][0] for i in kept)
 
 

@@ -262,6 +262,33 @@ def test_html_parts(cut, frame):
     assert html_text.extract(page).split("\n") == ["The title"] * ("title" in frame) + text
 
 
+@pytest.mark.parametrize("page", ["inner", "body", "links"])
+def test_html_keeps_the_whole_article(page):
+    """Title, lead and short last lines beside the long ones, without an article or main element."""
+    title, lead, ends = "A title", "A short lead of some sixty characters says what is to come.", ["One short end.", "Another."]
+    long = [f"{i} " + "many words of the text " * 17 for i in range(8)]
+    long = [" ".join(p.split()) for p in long]
+    p = lambda xs: "".join(f"<p>{x}</p>" for x in xs)
+    menu = "<ul><li><a href=/a>Home and more</a></li><li><a href=/b>News of the day</a></li></ul>"
+    if page == "inner":
+        body = f'{menu}<div id="content"><h1>{title}</h1><div class="lead">{lead}</div><div class="text">{p(long)}</div><p>{ends[0]}</p><p>{ends[1]}</p></div>{menu}'
+    elif page == "body":
+        body = f"{menu}<h1>{title}</h1>{p([lead, *long, *ends])}{menu}"
+    else:
+        body = f'{menu}<h1><a href="/top">{title}</h1>{p([lead, *long[:4]])}<p><a name="x">{long[4]}</p>{p([*long[5:], *ends])}'
+        menu = ""
+    want = [title, lead, *long, *ends]
+    assert html_text.extract(f"<html><body>{body}</body></html>").split("\n") == want
+
+
+def test_html_links_over_several_lines():
+    """A link that is closed is a link on all of its lines."""
+    text = [f"{i} some words of the text that is long enough to be one" for i in range(3)]
+    cards = "".join(f"<a href=/{i}><h3>Another page {i}</h3><p>What it is about, in a long line of words</p></a>" for i in range(3))
+    page = f"<body><div><div>{''.join(f'<p>{t}</p>' for t in text)}</div></div><div>{cards}</div></body>"
+    assert html_text.extract(page).split("\n") == text
+
+
 def test_ann(spark):
     rng = np.random.default_rng(0)
     x = rng.standard_normal((3000, 16)) + 4 * rng.standard_normal((6, 16))[rng.integers(0, 6, 3000)]
