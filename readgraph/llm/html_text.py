@@ -45,10 +45,29 @@ MARKS = re.compile(
 UNMARKED = re.compile(r"(?:article|post|entry|story)[_-]?(?:body|content|text|header|title)?|(?:has|with|without|no|is)[_-].*", re.IGNORECASE)
 
 
+#: Last parts of ids that name a component; elsewhere in an id a marked word may be of its subject, as in a heading's id.
+COMPONENTS = re.compile(
+    r"(?:.*[_-])?(?:ads?|adsense|banner|nav|navbar|navigation|menu|side-?bar|header|footer|masthead|breadcrumbs?|cookies?|consent|notices?|popup|pop-up|modal|overlay|newsletter|comments?|commentlist"
+    r"|disqus|replies|respond|widgets?|toolbar|pagination|pager|skip-?link)",
+    re.IGNORECASE,
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Names of what readers add to a page; unlike a wrapper's name, such a name holds also for most of a page's text.
+REPLIES = re.compile(r"(?:.*[_-])?(?:comments?|commentlist|disqus|replies|reply|respond)(?:[_-](?:list|section|area|body|thread|wrap|wrapper|container))?", re.IGNORECASE)
+
+
 def marked(names: str) -> bool:
+    """Whether one of the class names is marked."""
     return any(MARKS.search(n) and not UNMARKED.fullmatch(n) for n in names.split())
 
 
+def marked_id(name: str) -> bool:
+    """Whether an id is a marked word as a whole, or ends with a component's name."""
+    name = name.strip()
+    found = MARKS.match(name)
+    return bool(found and found.end() == len(name) or COMPONENTS.fullmatch(name)) and not UNMARKED.fullmatch(name)
+
+
 class _Reader(HTMLParser):
     """Collects lines: text, characters outside links, tags, containers around, and whether it is cut."""
 
@@ -58,6 +77,9 @@ class _Reader(HTMLParser):
         self.open: list[tuple[str, int, bool]] = [("", 0, False)]  # element, its number, whether cut
         self.path: tuple[int, ...] = (0,)
         self.kind: dict[int, str] = {0: ""}
+        self.named: dict[int, bool] = {}  # elements that their names mark, and whether as REPLIES
+        self.titles: list[tuple[int, ...]] = []  # paths of h1 and main elements that aren't cut
+        self.articles: list[tuple[int, ...]] = []  # and of articles
         self.text: list[str] = []
         self.tags = self.plain = 0
         self.in_link = False
@@ -95,10 +117,19 @@ class _Reader(HTMLParser):
         for name, value in attrs:
             if name == "hidden" or (name == "aria-hidden" and value == "true"):
                 return True
-            if value and (name == "role" and value.strip().lower() in ROLES or name in ("class", "id") and marked(value)):
+            if value and name == "role" and value.strip().lower() in ROLES:
                 return True
         return False
 
+    def note_names(self, number: int, tag: str, attrs) -> bool:
+        """Notes an element whose names mark it; whether to cut it is known at the page's end."""
+        if tag in ("html", "body", "main", "h1"):
+            return False
+        by = [(name, value) for name, value in attrs if value and (name == "class" and marked(value) or name == "id" and tag not in HEADINGS and marked_id(value))]
+        if by:
+            self.named[number] = any(REPLIES.fullmatch(n) for _, value in by for n in value.split())
+        return bool(by)
+
     def handle_starttag(self, tag: str, attrs) -> None:
         if tag in CONTAINERS or tag in NEVER:
             self.end_line()
@@ -108,13 +139,23 @@ class _Reader(HTMLParser):
             self.kind[number] = tag
             self.open.append((tag, number, self.open[-1][2] or self.is_never(tag, attrs)))
             self.path += (number,)
+            self.note_names(number, tag, attrs)
+            if tag in ("main", "article") and not self.open[-1][2] and number not in self.named:
+                (self.titles if tag == "main" else self.articles).append(self.path)
         elif tag in BLOCKS:
             self.end_line()
             if tag not in ("hr",):
                 self.drop_block()
                 self.in_title = tag == "h1"
+                number = len(self.kind)
+                if tag == "h1" and not self.open[-1][2]:
+                    self.titles.append(self.path)
                 if not self.open[-1][2] and self.is_never(tag, attrs):
                     self.open.append((tag, -1, True))
+                elif not self.open[-1][2] and self.note_names(number, tag, attrs):
+                    self.kind[number] = tag
+                    self.open.append((tag, number, False))
+                    self.path += (number,)
         elif tag == "br":
             self.text.append(" ")
         elif tag == "a":
@@ -124,9 +165,30 @@ class _Reader(HTMLParser):
         self.tags += 1
 
     def drop_block(self) -> None:
-        """A block ends the block before it; only blocks that are cut are kept in mind."""
-        if self.open[-1][1] == -1:
-            self.open.pop()
+        """A block ends the block before it; only blocks that are cut, or may be, are kept in mind."""
+        if self.open[-1][0] in BLOCKS:
+            if self.open.pop()[1] >= 0:
+                self.path = self.path[:-1]
+
+    def cut_named(self) -> None:
+        """Cuts what names mark, unless it is a wrapper: the page's h1, main or largest article, or most of its text, are in it."""
+        if not self.named:
+            return
+        held: dict[int, int] = {}
+        for _, plain, _, path, cut in self.lines:
+            if not cut:
+                for n in path:
+                    held[n] = held.get(n, 0) + plain
+        total = held.get(0, 0)
+        spared = {n for path in self.titles for n in path}
+        largest = max((p for p in self.articles if not any(self.named.get(n) for n in p)), key=lambda p: held.get(p[-1], 0), default=())
+        if not any(set(p).isdisjoint(self.named) for p in self.titles):  # else the page's head is outside, and the article may be a teaser
+            spared.update(largest)
+        for n, replies in self.named.items():
+            if not replies and 2 * held.get(n, 0) > total or replies and held.get(n, 0) == total > 0:
+                spared.add(n)
+        gone = self.named.keys() - spared
+        self.lines = [(text, 0, tags, path, True) if not cut and not gone.isdisjoint(path) else (text, plain, tags, path, cut) for text, plain, tags, path, cut in self.lines]
 
     def close_to(self, tags: tuple[str, ...], stop: tuple[str, ...]) -> None:
         for k in range(len(self.open) - 1, 0, -1):
@@ -210,6 +272,7 @@ def extract(html: str) -> str:
     reader.close()
     reader.end_link(closed=False)
     reader.end_line()
+    reader.cut_named()
     lines = reader.lines
     ratios = [0.0 if cut else plain / max(tags, 1) for _, plain, tags, _, cut in lines]
     if not any(ratios):

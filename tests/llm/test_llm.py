@@ -289,6 +289,32 @@ def test_html_links_over_several_lines():
     assert html_text.extract(page).split("\n") == text
 
 
+HELD = ["A first paragraph that is long enough to be one of a text.", "Short.", "And the last one, which has several words as well, and some more."]
+
+
+@pytest.mark.parametrize("part", ['<h2 id="related-work">{}</h2>', '<section id="social-history"><p>{}</p></section>', '<section id="share-price"><p>{}</p></section>', '<h3 id="menu-design">{}</h3>', '<h2 id="comments">{}</h2>', '<div class="page-header"><h1>{}</h1></div>'])
+def test_html_names_of_subjects(part):
+    """Ids of headings and sections often name their subject."""
+    page = f"<body><div class=content><p>{HELD[0]}</p>{part.format('Words of this part')}<p>{HELD[1]}</p><p>{HELD[2]}</p></div></body>"
+    assert html_text.extract(page).split("\n") == [HELD[0], "Words of this part", *HELD[1:]]
+
+
+@pytest.mark.parametrize("wrap", ['class="page-with-sidebar"', 'class="layout-sidebar-left"', 'id="page-menu"', 'class="nav-layout wide"'])
+@pytest.mark.parametrize("inner", ["<div>{}</div>", "<article>{}</article>", "{}"])
+def test_html_names_of_wrappers(wrap, inner):
+    """A wrapper may be named by what is beside the text in it; what is named so within it is left out."""
+    rest = '<div class="sidebar"><p>Some words that nobody came for.</p></div>'
+    page = f"<body><div {wrap}>{inner.format(''.join(f'<p>{t}</p>' for t in HELD))}{rest}</div><p class=footer>Me</p></body>"
+    assert html_text.extract(page).split("\n") == HELD
+
+
+def test_html_long_comments_are_left_out():
+    comments = '<div id="comments">' + "<article class=comment-body><p>I liked to read this very much, and I will come again.</p></article>" * 20 + "</div>"
+    teasers = '<div class="related-posts"><article><p>Another text that could be of interest for those who read this one.</p></article></div>'
+    page = f"<body><div class=content><h1>A title</h1>{''.join(f'<p>{t}</p>' for t in HELD)}</div>{teasers}{comments}</body>"
+    assert html_text.extract(page).split("\n") == ["A title", *HELD]
+
+
 def test_ann(spark):
     rng = np.random.default_rng(0)
     x = rng.standard_normal((3000, 16)) + 4 * rng.standard_normal((6, 16))[rng.integers(0, 6, 3000)]
