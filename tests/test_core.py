@@ -292,6 +292,25 @@ def test_bubbles(spark):
     assert ids(bubbles.bubble_nodes(equal, 100, 1.0)) == []
 
 
+def test_bubbles_by_rounds(spark):
+    """A component above the bound goes through joins, with the result of the sequential kernel."""
+    r = random.Random(2)
+    names = [f"r{k:03d}" for k in r.sample(range(1000), 24)]
+    rows = {}
+    for i in range(24):
+        for k in (1, 2):
+            if i + k < 24 and r.random() < (1 if k == 1 else 0.5):
+                s, d = names[i] + "+", names[i + k] + r.choice("+++-")
+                rows[s, d] = rows[rc(d), rc(s)] = (r.choice([5, 5, 9]), r.choice([100, 200, 400]), r.choice([80.0, 95.0]))
+    edges = [(s, d, *e) for (s, d), e in rows.items()]
+    nodes = {x for e in edges for x in e[:2]}
+    g = graph.Graph(spark.createDataFrame([(n,) for n in nodes], "node_id string"), spark.createDataFrame(edges, EDGE))
+    want = bubbles.Component(iter(edges), nodes).remove_bubbles(4, 1.0)
+    assert want and ids(bubbles.bubble_nodes(g, 4, 1.0, split_edges=10)) == want == ids(bubbles.bubble_nodes(g, 4, 1.0))
+    with pytest.raises(Exception, match="max_component_edges"):
+        bubbles.bubble_nodes(g, 4, 1.0, 20, split_edges=10).collect()
+
+
 def test_whole_pipeline(spark, tmp_path):
     """Reads of an error-free circular genome give back the genome, once for each strand."""
     from readgraph.cli import main
