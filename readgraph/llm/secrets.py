@@ -1,13 +1,16 @@
 """Secrets in texts: fixed patterns, and strings that look drawn at random.
 
 The base kinds are found by patterns. The kind ``random`` comes from two character Markov models, one of
-random strings and one of ordinary identifiers: a token is reported when the log-likelihood ratio of the
-two is high enough, in all and per character, and when it doesn't overlap a base span.
+random strings and one of ordinary identifiers: a run of characters, or else the best-scoring stretches of
+it, are reported when the log-likelihood ratio of the two is high enough, in all and per character. Only
+the characters that base spans cover are left out.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
+import math
 import random
 import re
 from collections.abc import Iterator
@@ -22,9 +25,14 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # a run is matched whole, so this equals runs of any length, filtered
 KINDS = ("assign", "access", "hex", "random")
 LEAST_ASSIGN, LEAST_ACCESS = 6, 20
-#: Tokens that the models look at: runs of 20 to any number of characters with a digit among them.
-TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}={0,2}")
+#: Runs that the models look at, of any length.
+TOKEN = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+CACHE_RUNS = 200_000
+WIDEN, SEPARATORS = 12, "+/_-="
+LONG = 20  # a run of so many characters with a digit is first looked at as a whole
 LEAST_RATIO, LEAST_PER_CHAR = 12.0, 0.6
+#: In a stretch a pair of characters adds at most so much, so that a few pairs rare in identifiers don't make a foreign word random.
+MOST_PER_CHAR = 2.5
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-="
 
 
@@ -50,6 +58,12 @@ class RandomStrings:
     def __init__(self, samples: list[tuple[str, int]]):
         both = [MarkovModel([s for s, label in samples if label == k]).log for k in (0, 1)]
         self.ratio_of = (both[1] - both[0]).tolist()
+        self.gain_of = [[min(v, MOST_PER_CHAR) - LEAST_PER_CHAR for v in row] for row in self.ratio_of]
+        self.least_length = math.ceil(LEAST_RATIO / MOST_PER_CHAR)  # shorter stretches can't reach LEAST_RATIO
+        self._runs: dict[str, tuple[tuple[int, int], ...]] = {}
+
+    def __getstate__(self):
+        return {**self.__dict__, "_runs": {}}
 
     def ratio(self, token: str) -> float:
         place, ratio_of, total, before = MarkovModel.place, self.ratio_of, 0.0, 0
@@ -63,6 +77,53 @@ class RandomStrings:
         r = self.ratio(token)
         return r >= LEAST_RATIO and r >= LEAST_PER_CHAR * len(token)
 
+    def stretches(self, run: str) -> tuple[tuple[int, int], ...]:
+        """(start, end) of what is random in a run: all of it, or the stretches whose ratio is largest above the least per character."""
+        if len(run) < self.least_length:
+            return ()
+        found = self._runs.get(run)
+        if found is None:
+            long = len(run) >= LONG and any(c.isdigit() for c in run)
+            found = ((0, len(run)),) if long and self.is_random(run) else tuple(self._widened(run))
+            if len(run) <= 64:
+                if len(self._runs) >= CACHE_RUNS:
+                    self._runs.clear()
+                self._runs[run] = found
+        return found
+
+    def _widened(self, run: str) -> Iterator[tuple[int, int]]:
+        """Best stretches with up to WIDEN characters more, where a separator or the run's end is so near."""
+        last = 0
+        for start, end in self._best(run):
+            before = next((k for k in range(start, max(last, start - WIDEN) - 1, -1) if k == last or run[k - 1] in SEPARATORS), start)
+            last = next((k for k in range(end, min(len(run), end + WIDEN) + 1) if k == len(run) or run[k] in SEPARATORS), end)
+            yield before, last
+
+    def _best(self, run: str) -> Iterator[tuple[int, int]]:
+        """Running sums from where they are above zero; a stretch ends at its largest sum, when the sum is back at zero or has lost LEAST_RATIO."""
+        place, gain_of = MarkovModel.place, self.gain_of
+        states = [0, *(place.get(c, 0) for c in run)]
+        i = start = end = 0
+        total = top = 0.0
+        while True:
+            if i < len(run):
+                total += gain_of[states[i]][states[i + 1]]
+                i += 1
+                if total > top:
+                    top, end = total, i
+                    continue
+                if total > 0 and top - total < LEAST_RATIO:
+                    continue
+            if top + LEAST_PER_CHAR * (end - start) >= LEAST_RATIO:
+                yield start, end
+                i = end  # what comes after it may hold another one
+            elif i < len(run) and total > 0:
+                continue
+            elif i >= len(run):
+                return
+            start = end = i
+            total = top = 0.0
+
 
 #: Words of ordinary identifiers and paths, from which the default sample is put together.
 WORDS = """account action active address admin agent alert alias amount api app archive array asset async attr audio auth author average
@@ -110,13 +171,23 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def random_spans(text: str, base: list[tuple[int, int, int]], model: RandomStrings) -> list[tuple[int, int, int]]:
-    found, k, reach = [], 0, 0
+    found, k = [], 0
     for m in TOKEN.finditer(text):
-        while k < len(base) and base[k][0] < m.end():
-            reach = max(reach, base[k][2])
+        if m.end() - m.start() < model.least_length:
+            continue
+        while k < len(base) and base[k][2] <= m.start():  # a run's end may be within a base span that holds the next
             k += 1
-        if reach <= m.start() and model.is_random(m[0]):
-            found.append((m.start(), 3, m.end()))
+        at, parts = m.start(), []
+        for start, _, end in itertools.islice(base, k, None):
+            if start >= m.end():
+                break
+            if start > at:
+                parts.append((at, start))
+            at = max(at, end)
+        if at < m.end():
+            parts.append((at, m.end()))
+        for a, b in parts:
+            found += [(a + start, 3, a + end) for start, end in model.stretches(text[a:b])]
     return found
 
 

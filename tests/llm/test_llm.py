@@ -448,6 +448,26 @@ def test_secrets(spark):
     assert sum(fresh.is_random(s) == bool(k) for s, k in unseen) / len(unseen) > 0.98
 
 
+def test_secrets_stretches(spark):
+    """Letters only, short strings, and random parts of longer runs, also beside base spans."""
+    rng = random.Random(6)
+    drawn = lambda n, a=secrets.ALPHABET[:52]: "".join(rng.choices(a, k=n))
+    path, words = "https/example/com/path/to/the/user/account/settings/page/", "customer_account_version_control_settings_window_"
+    parts = [("a ", drawn(40)), ("b ", drawn(16, secrets.ALPHABET[:62])), (path, drawn(32, secrets.ALPHABET[:62])), (words, drawn(30)), ("deadbeef" * 4 + "/", drawn(40))]
+    found = [secrets.random_spans(a + k, secrets.base_spans(a + k), secrets.RandomStrings(secrets.default_samples())) for a, k in parts]
+    for (a, k), spans in zip(parts, found, strict=True):
+        assert len(spans) == 1 and spans[0][2] == len(a + k) and abs(spans[0][0] - len(a)) <= 3, (a, k, spans)
+    both = drawn(30) + "/" + path + drawn(30)
+    model = secrets.RandomStrings(secrets.default_samples())
+    assert len(model.stretches(both)) == 2
+    base = secrets.base_spans(parts[-1][0] + parts[-1][1])
+    assert found[-1][0][0] >= base[0][2]
+    plain = "Donaudampfschifffahrtsgesellschaft Geschwindigkeitsbegrenzung anticonstitutionnellement internationalization electroencefalografista " + path + words
+    assert secrets.random_spans(plain, [], model) == [] and model.stretches("") == ()
+    row = secrets.scan(docs(spark, [(1, "see " + path + parts[2][1], "s")])).collect()[0]
+    assert row["n_random"] == 1
+
+
 def plain_targets(sizes):
     """Give by weight, stop the full ones, give their excess to the others, until none is above."""
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
