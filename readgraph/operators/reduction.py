@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequences import rc_node
+from ..plans.lineage import materialize
 from .graph import Graph, drop_edges
 
 
@@ -21,21 +22,31 @@ def triangles(edges: DataFrame) -> DataFrame:
 def transitive_edges(edges: DataFrame, fuzz: int) -> DataFrame:
     """``src, dst`` of edges that the edges over a third node make superfluous.
 
-    For each source, its targets are gone through from near to far. A target that still stands strikes out
+    For each source, its targets count from near to far. A target that still stands strikes out
     those that it leads to within the source's longest edge and the fuzz. Any target strikes out those that
-    it leads to within the fuzz, or by its shortest edge. Only the first rule depends on the order: a source's
-    targets are folded over in one array, whose length is the source's degree.
+    it leads to within the fuzz, or by its shortest edge. Only the first rule depends on the order: a target is
+    struck out once a nearer one that reaches it stands, and stands once all of them are struck out. That is
+    decided in rounds of joins over rows, so a source's triangles are never held together.
     """
     tri = triangles(edges)
     reach = (F.col("len12") + F.col("len23")) <= F.col("longest1") + fuzz
     close = (F.col("len23") < fuzz) | (F.col("len23") == F.col("shortest2"))
-    by_middle = tri.filter(reach | close).groupBy("n1", "n2").agg(F.first("len12").alias("len12"), F.collect_list(F.when(reach, F.col("n3"))).alias("far"), F.collect_list(F.when(close, F.col("n3"))).alias("near"))
-    middle = F.sort_array(F.collect_list(F.struct("len12", "n2", "far", "near"))).alias("ms")
-    by_source = by_middle.groupBy("n1").agg(middle)
-    nothing = F.array().cast("array<string>")
-    struck = F.aggregate("ms", nothing, lambda out, m: F.when(F.array_contains(out, m["n2"]), out).otherwise(F.array_union(out, m["far"])))
-    also = F.flatten(F.transform("ms", lambda m: m["near"]))
-    return by_source.select(F.col("n1").alias("src"), F.explode(F.array_union(struck, also)).alias("dst"))
+    length = edges.groupBy(F.col("src").alias("n1"), F.col("dst").alias("n3")).agg(F.min("edge_len").alias("len13"))
+    marked = tri.select("n1", "n2", "n3", "len12", reach.alias("far"), close.alias("near")).filter("far OR near").join(length, ["n1", "n3"])
+    marked = materialize(marked.withColumn("nearer", F.struct("len12", "n2") < F.struct("len13", F.col("n3"))), "transitive")
+    far = marked.filter("far").select("n1", "n2", "n3").distinct()
+    open_ = materialize(marked.filter("far AND nearer").select("n1", "n2", "n3").distinct(), "transitive-open")
+    ends = lambda df: df.select("n1", F.col("n3").alias("n2")).distinct()
+    new = materialize(far.select("n1", "n2").distinct().join(ends(open_), ["n1", "n2"], "left_anti"), "transitive-stand")
+    standing = new
+    while open_.head():
+        struck = materialize(ends(open_.join(new, ["n1", "n2"], "left_semi")), "transitive-struck")
+        rest = open_.join(struck, ["n1", "n2"], "left_anti").join(struck.withColumnRenamed("n2", "n3"), ["n1", "n3"], "left_anti")
+        rest = materialize(rest.select("n1", "n2", "n3"), "transitive-open")
+        new = materialize(ends(open_).join(struck, ["n1", "n2"], "left_anti").join(ends(rest), ["n1", "n2"], "left_anti"), "transitive-stand")
+        standing, open_ = standing.union(new), rest
+    by_far = far.join(standing, ["n1", "n2"], "left_semi").select(F.col("n1").alias("src"), F.col("n3").alias("dst"))
+    return by_far.union(marked.filter("near").select(F.col("n1").alias("src"), F.col("n3").alias("dst"))).distinct()
 
 
 def reduce_transitive(graph: Graph, fuzz: int) -> Graph:

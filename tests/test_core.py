@@ -292,6 +292,31 @@ def test_bubbles(spark):
     assert ids(bubbles.bubble_nodes(equal, 100, 1.0)) == []
 
 
+def test_transitive_edges_hold_no_source_together(spark):
+    """As the fold from near to far says, on random graphs with a hub; and without lists of a source's triangles."""
+    r = random.Random(4)
+    rows = {(f"r{a:02d}+", f"r{b:02d}+"): r.randrange(1, 60) for a in range(14) for b in range(14) if a != b and (a == 0 or r.random() < 0.4)}
+    g = spark.createDataFrame([(s, d, n, 100, 90.0) for (s, d), n in rows.items()], EDGE)
+    out, want = {}, set()
+    for (s, d), n in rows.items():
+        out.setdefault(s, []).append((n, d))
+    for s, targets in out.items():
+        struck = set()
+        for n, m in sorted(targets):
+            for k, d in out.get(m, []):
+                if (s, d) in rows:
+                    if m not in struck or k < 5 or k == min(out[m])[0]:
+                        if k < 5 or k == min(out[m])[0]:
+                            want.add((s, d))
+                        if m not in struck and n + k <= max(targets)[0] + 5:
+                            want.add((s, d))
+            if m not in struck:
+                struck |= {d for k, d in out.get(m, []) if (s, d) in rows and n + k <= max(targets)[0] + 5}
+    found = reduction.transitive_edges(g, 5)
+    assert ends(found) == sorted(want)
+    assert "collect_list" not in found._jdf.queryExecution().toString()
+
+
 def test_bubbles_by_rounds(spark):
     """A component above the bound goes through joins, with the result of the sequential kernel."""
     r = random.Random(2)
