@@ -101,10 +101,11 @@ class SwapRegularised:
 
     def __init__(self, bias: float = 0.0, weights: dict[str, tuple[float, float]] | None = None):
         self.bias, self.weights = bias, weights or {}
+        self.n_pairs = 0  # counterfactual pairs of sentences in the fit; of none the penalty is without effect
         self._words: dict[str, tuple] = {}
 
     def __getstate__(self):
-        return {"bias": self.bias, "weights": self.weights, "_words": {}}
+        return {"bias": self.bias, "weights": self.weights, "n_pairs": self.n_pairs, "_words": {}}
 
     def fit(self, texts: list[str], labels: np.ndarray, swap_penalty: float = SWAP_PENALTY) -> SwapRegularised:
         y = np.asarray(labels, float)
@@ -123,6 +124,7 @@ class SwapRegularised:
         index = {f: i for i, f in enumerate(names)}
         del docs, hits, z
         pairs = [p for t in texts for p in swapped_sentences(t)]
+        self.n_pairs = len(pairs)
         x = _Rows(texts, index)
         a, b = (_Rows([p[k] for p in pairs], index) for k in (0, 1))
         m = max(len(pairs), 1)

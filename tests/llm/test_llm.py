@@ -394,6 +394,12 @@ def test_counterfactual_penalty():
     assert gap(free) > 0.2 and gap(tied) < 0.1 * gap(free)
 
 
+def test_counterfactual_pairs_are_reported():
+    """Without identity terms there are no pairs, so the penalty changes nothing."""
+    labels = np.array([0, 1] * 20)
+    with_terms, without = (toxicity.SwapRegularised().fit([f"the {w} of the {'green' if k else 'vile'} house" for k in range(2)] * 20, labels) for w in ("women", "stones"))
+    assert with_terms.n_pairs == 40 and without.n_pairs == 0
+
 
 def test_chat(spark):
     schema = "conv_id bigint, turn bigint, role string, text string, extra int"
