@@ -292,6 +292,16 @@ def test_bubbles(spark):
     assert ids(bubbles.bubble_nodes(equal, 100, 1.0)) == []
 
 
+def test_many_singletons(spark):
+    """All nodes without an edge, and those with a loop only; not those that bubble removal leaves joined."""
+    diamond = [("s+", "x+", 5, 100, 90), ("x+", "t+", 5, 300, 90), ("s+", "y+", 6, 100, 90), ("y+", "t+", 5, 100, 90), ("y+", "z+", 5, 100, 90)]
+    lone = [f"l{i}+" for i in range(50)]
+    g = bubbles.remove_bubbles(make(spark, [*diamond, ("o+", "o+")], nodes=lone), 1, 1.0)
+    want = sorted(x for n in [*lone, "o+", "z+"] for x in (n, rc(n)))
+    assert ids(graph.singleton_nodes(g)) == want
+    assert ids(graph.remove_singletons(g).nodes) == ["s+", "s-", "t+", "t-", "x+", "x-"]
+
+
 def test_transitive_edges_hold_no_source_together(spark):
     """As the fold from near to far says, on random graphs with a hub; and without lists of a source's triangles."""
     r = random.Random(4)
