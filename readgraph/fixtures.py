@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .config import FilterConfig, GraphConfig
+from .plans.lineage import kept
 
 FILTER = FilterConfig(min_overlap_length=20, min_overlap_count=3, min_percent_identity=5.0, overhang_ratio=0.8)
 #: A second setting, at which some reads are thinly covered.
@@ -94,9 +95,10 @@ def _from_orders(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 
 
 def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _from_orders(spark, sf_dir, ALIGNMENTS_SQL)
+    """The rows are written once a session and folder: the range join that makes them is no part of any operator."""
+    return kept(spark, f"alignments of {sf_dir}", lambda: _from_orders(spark, sf_dir, ALIGNMENTS_SQL))
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``read_name, seq``"""
-    return _from_orders(spark, sf_dir, READS_SQL.replace("{genome}", GENOME_SPARK))
+    """``read_name, seq``, written once a session and folder."""
+    return kept(spark, f"reads of {sf_dir}", lambda: _from_orders(spark, sf_dir, READS_SQL.replace("{genome}", GENOME_SPARK)))

@@ -9,15 +9,24 @@ from ..config import FilterConfig
 from ..functions.sequences import percent_identity
 
 
+def unsound() -> F.Column:
+    """Why an alignment can't be used: a position beyond its read or a strand that is none; null if it can."""
+    said = lambda what: F.concat(F.lit(f"{what}: "), F.concat_ws(" ", "query_name", "query_start", "query_end", "strand", "target_name", "target_start", "target_end"))
+    within = lambda s: (F.col(f"{s}_start") >= 0) & (F.col(f"{s}_start") <= F.col(f"{s}_end")) & (F.col(f"{s}_end") <= F.col(f"{s}_length"))
+    return F.when(~(within("query") & within("target")), said("positions beyond the read")).when(~F.col("strand").isin("+", "-"), said("a strand other than + and -"))
+
+
 def rated(alignments: DataFrame, config: FilterConfig) -> DataFrame:
-    """Adds ``identity`` and ``skip``: why an alignment is left out (self, length or identity), or null."""
+    """Adds ``identity`` and ``skip``: why an alignment is left out (self, length or identity), or null.
+
+    One that isn't left out but can't be used (``unsound``) is an error.
+    """
     identity = percent_identity(F.col("num_matching"), F.col("alignment_block_length"))
     span = F.least(F.col("query_end") - F.col("query_start"), F.col("target_end") - F.col("target_start"))
     least = F.lit(config.min_percent_identity).cast("float").cast("double")
-    return alignments.withColumn("identity", identity).withColumn(
-        "skip",
-        F.when(F.col("query_name") == F.col("target_name"), "self").when(span < config.min_overlap_length, "length").when(~F.isnan("identity") & (F.col("identity") < least), "identity"),
-    )
+    reason = F.when(F.col("query_name") == F.col("target_name"), "self").when(span < config.min_overlap_length, "length").when(~F.isnan("identity") & (F.col("identity") < least), "identity")
+    fault = unsound()
+    return alignments.withColumn("identity", identity).withColumn("skip", reason.when(fault.isNotNull(), F.raise_error(fault).cast("string")))
 
 
 def passing(alignments: DataFrame, config: FilterConfig) -> DataFrame:

@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders that this process has written, by application; and those that are kept for a whole session, by name.
+_written: dict[str, list[str]] = {}
+_kept: dict[tuple[str, str], str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; a temporary one only where the session has none (tests)."""
@@ -20,12 +26,51 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder's path in the shared folder, noted for ``release``."""
+    path = f"{shared_dir(spark)}/readgraph-{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     This cuts the lineage: a lost executor repeats only what follows. The folder may be
-    removed as soon as the results built on it have been written.
+    removed as soon as the results built on it have been written (``release``).
     """
-    path = f"{shared_dir(df.sparkSession)}/readgraph-{name}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def kept(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """What ``build`` gives, written once a session; written anew if the folder has been removed meanwhile."""
+    key = (spark.sparkContext.applicationId, name)
+    if key in _kept:
+        try:
+            return spark.read.parquet(_kept[key])
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+    df = build()
+    _kept[key] = f"{shared_dir(spark)}/readgraph-kept-{uuid.uuid4().hex}"
+    df.write.parquet(_kept[key])
+    return spark.read.parquet(_kept[key])
+
+
+def release(spark: SparkSession, whole: bool = False) -> int:
+    """Removes the tables that this session's operators have written so far, and says how many.
+
+    Results that are built on them must have been written before. With ``whole`` the tables that are kept
+    for the session go too.
+    """
+    app = spark.sparkContext.applicationId
+    paths = _written.pop(app, [])
+    if whole:
+        paths += [_kept.pop(key) for key in [k for k in _kept if k[0] == app]]
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+    return len(paths)

@@ -11,8 +11,8 @@ from .fixtures import ALIGNMENTS_SQL, FILTER, GENOME_DUCKDB, GRAPH, READS_SQL, T
 from .functions.sequences import percent_identity, rev_comp
 from .operators import bubbles, components, filtering, graph, overlaps, paths, reduction, tips, unitigs
 from .plans.assembly import assemble, filter_metrics
-from .plans.lineage import materialize
-from .sources.alignments import PAF, parse_paf
+from .plans.lineage import kept, materialize, new_folder
+from .sources.alignments import PAF, parse_paf, read_fastq, read_overlaps, read_paf, write_overlaps
 from .sources.sinks import dot_lines, fasta_lines, gfa_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -144,23 +144,35 @@ CLEAN = stages(3, SYMMETRIC)
 
 
 def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialize(overlaps.find_overlaps(alignments(spark, sf_dir), FILTER), "overlaps")
+    return kept(spark, f"overlaps of {sf_dir}", lambda: overlaps.find_overlaps(alignments(spark, sf_dir), FILTER))
+
+
+def _graph(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], graph.Graph]) -> graph.Graph:
+    """A step's graph, written once a session and folder, so that a query runs its own operator only."""
+    made: list[graph.Graph] = []
+
+    def part(i: int) -> DataFrame:
+        if not made:
+            made.append(build())
+        return made[0][i]
+
+    return graph.Graph(*(kept(spark, f"{name} {p} of {sf_dir}", lambda i=i: part(i)) for i, p in enumerate(("nodes", "edges"))))
 
 
 def _raw(spark: SparkSession, sf_dir: str) -> graph.Graph:
-    return graph.saved(graph.build_graph(_overlaps(spark, sf_dir)), "raw")
+    return _graph(spark, sf_dir, "raw", lambda: graph.build_graph(_overlaps(spark, sf_dir)))
 
 
 def _reduced(spark: SparkSession, sf_dir: str) -> graph.Graph:
-    return graph.saved(reduction.reduce_transitive(_raw(spark, sf_dir), GRAPH.fuzz), "reduced")
+    return _graph(spark, sf_dir, "reduced", lambda: reduction.reduce_transitive(_raw(spark, sf_dir), GRAPH.fuzz))
 
 
 def _trimmed(spark: SparkSession, sf_dir: str) -> graph.Graph:
-    return graph.saved(graph.remove_short_edges(_reduced(spark, sf_dir), GRAPH.short_edge_ratio), "trimmed")
+    return _graph(spark, sf_dir, "trimmed", lambda: graph.remove_short_edges(_reduced(spark, sf_dir), GRAPH.short_edge_ratio))
 
 
 def _clean(spark: SparkSession, sf_dir: str) -> graph.Graph:
-    return graph.saved(graph.symmetrize(_trimmed(spark, sf_dir)), "clean")
+    return _graph(spark, sf_dir, "clean", lambda: graph.symmetrize(_trimmed(spark, sf_dir)))
 
 
 def _sequences(spark: SparkSession, sf_dir: str) -> tuple[unitigs.Unitigs, DataFrame]:
@@ -180,6 +192,23 @@ def paf_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_paf(rows.select("line_no", F.concat_ws("\t", *[F.col(n).cast("string") for n, _ in PAF]).alias("value")))
 
 
+@query(S3 + f"SELECT {', '.join(n for n, _ in PAF)} FROM alignments")
+def paf_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The alignments, written as PAF files and read from them."""
+    path = new_folder(spark, "paf")
+    alignments(spark, sf_dir).select(F.concat_ws("\t", *[F.col(n).cast("string") for n, _ in PAF])).write.text(path)
+    return read_paf(spark, path).drop("line_no")
+
+
+@query("SELECT read_name, seq FROM (" + READS_SQL.replace("{genome}", GENOME_DUCKDB) + ")")
+def fastq_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reads, written as FASTQ files and read from them."""
+    path = new_folder(spark, "fastq")
+    lines = F.explode(F.array(F.concat(F.lit("@"), F.col("read_name"), F.lit(" x")), F.col("seq"), F.lit("+"), F.regexp_replace("seq", ".", "I")))
+    reads(spark, sf_dir).select(lines).write.text(path)
+    return read_fastq(spark, path)
+
+
 @query(S3 + "SELECT outcome, count(*) AS n FROM skips GROUP BY 1")
 def paf_filter_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filtering.filter_counts(alignments(spark, sf_dir), FILTER)
@@ -236,6 +265,14 @@ def proper_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps.find_overlaps(alignments(spark, sf_dir), FILTER)
 
 
+@query(S3 + "SELECT * FROM final")
+def overlaps_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The overlaps, written to a file and read from it."""
+    path = new_folder(spark, "overlaps-file")
+    write_overlaps(_overlaps(spark, sf_dir), path)
+    return read_overlaps(spark, path)
+
+
 @query(S8 + "SELECT * FROM final")
 def proper_overlaps_thin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps.find_overlaps(alignments(spark, sf_dir), THIN)
@@ -411,6 +448,70 @@ def internal_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.internal_chains(_clean(spark, sf_dir), 40)
 
 
+def without(gone: str) -> str:
+    """Edges of which neither end, on either strand, is among the nodes ``gone`` (node_id)."""
+    return f""", gone AS (SELECT node_id FROM {gone} UNION SELECT {rc("node_id")} FROM {gone})
+SELECT e.* FROM edges e ANTI JOIN gone a ON a.node_id = e.src ANTI JOIN gone b ON b.node_id = e.dst"""
+
+
+KINDS = f""", outs AS (SELECT src AS node_id, count(*) AS n, min(dst) AS target FROM edges GROUP BY 1),
+kinds AS (SELECT r.node_id, coalesce(i.n, 0) AS n_in, coalesce(o.n, 0) AS n_out, o.target FROM raw_nodes r LEFT JOIN outs o USING (node_id) LEFT JOIN outs i ON i.node_id = {rc("r.node_id")}),
+tip AS (SELECT node_id FROM kinds WHERE n_in = 0 AND n_out = 1 AND target NOT IN (SELECT node_id FROM kinds WHERE n_in = 1 AND n_out = 1))"""
+
+
+@query(CLEAN + KINDS + without("tip"))
+def trim_tips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tips.trim_tips(_clean(spark, sf_dir), GRAPH.max_tip_len).edges
+
+
+@query(CLEAN + ", branching AS (SELECT node_id FROM degree WHERE out_degree > 1)" + without("branching"))
+def drop_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph without its branching reads."""
+    clean = _clean(spark, sf_dir)
+    return graph.drop_nodes(clean, bubbles.bubble_sources(clean)).edges
+
+
+@query(
+    CLEAN
+    + f""", branching AS (SELECT node_id FROM degree WHERE out_degree > 1), cut AS (SELECT node_id FROM branching UNION SELECT {rc("node_id")} FROM branching),
+left_ AS (SELECT * FROM edges ANTI JOIN cut a ON a.node_id = src ANTI JOIN cut b ON b.node_id = dst),
+linked AS (SELECT src AS node_id FROM left_ WHERE src <> dst UNION SELECT dst FROM left_ WHERE src <> dst),
+nodes AS (SELECT node_id FROM raw_nodes ANTI JOIN cut USING (node_id)),
+single AS (SELECT node_id FROM nodes ANTI JOIN linked USING (node_id))
+SELECT node_id FROM nodes WHERE node_id NOT IN (SELECT node_id FROM single UNION SELECT {rc("node_id")} FROM single)"""
+)
+def remove_singletons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes that are left when branching reads, and then singletons, are gone."""
+    clean = _clean(spark, sf_dir)
+    return graph.remove_singletons(graph.drop_nodes(clean, bubbles.bubble_sources(clean))).nodes
+
+
+@query(
+    CLEAN
+    + f""", run AS (SELECT e.dst AS head, e.dst AS at, 1 AS n FROM edges e JOIN degree b ON b.node_id = e.src JOIN degree d ON d.node_id = e.dst
+    WHERE b.out_degree >= 2 AND d.in_degree = 1 AND d.out_degree = 1
+  UNION ALL SELECT r.head, e.dst, r.n + 1 FROM run r JOIN edges e ON e.src = r.at JOIN degree d ON d.node_id = e.dst WHERE d.in_degree = 1 AND d.out_degree = 1 AND r.n < 60),
+whole AS (SELECT r.head FROM run r JOIN edges e ON e.src = r.at JOIN degree d ON d.node_id = e.dst WHERE r.n <= 40 AND d.out_degree >= 2),
+chain AS (SELECT DISTINCT r.at AS node_id FROM run r WHERE r.head IN (SELECT head FROM whole) AND r.n <= 40)"""
+    + without("chain")
+)
+def cut_internal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paths.cut_internal(_clean(spark, sf_dir), 40).edges
+
+
+@query(
+    CLEAN
+    + """, reach AS (SELECT DISTINCT dst AS start, dst AS node, 0 AS depth FROM edges WHERE src IN (SELECT node_id FROM degree WHERE out_degree > 1)
+  UNION SELECT r.start, e.dst, r.depth + 1 FROM reach r JOIN edges e ON e.src = r.node WHERE r.depth < 8)
+SELECT start, node, min(depth) AS depth FROM reach GROUP BY 1, 2"""
+)
+def bounded_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the targets of branching nodes reach within eight edges, as the search for bubbles does."""
+    clean = _clean(spark, sf_dir)
+    starts = clean.edges.join(bubbles.bubble_sources(clean).withColumnRenamed("node_id", "src"), "src").select(F.col("dst").alias("start")).distinct()
+    return bubbles.reached(starts, clean.edges, 8).select("start", "node", "depth")
+
+
 @query(CLEAN + "SELECT src, dst FROM edges")
 def biloop_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.cut_biloops(_clean(spark, sf_dir)).edges.select("src", "dst")

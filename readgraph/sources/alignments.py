@@ -16,7 +16,8 @@ MOST = {"u32": 2**32 - 1, "u8": 2**8 - 1}
 
 def _number(text: Column, kind: str) -> Column:
     """The number that ``text`` is; null if it isn't one, or is out of range."""
-    value = F.when(text.rlike(r"^[+-]?[0-9]+$" if kind == "i64" else r"^\+?[0-9]+$"), text.try_cast("bigint"))
+    # a cast alone would also take spaces around, and parts of numbers after a point
+    value = F.when(F.translate(text, "0123456789", "").isin("", *(["+", "-"] if kind == "i64" else ["+"])), text.try_cast("bigint"))
     return value if kind == "i64" else F.when(value <= MOST[kind], value)
 
 
@@ -26,9 +27,8 @@ def parse_paf(lines: DataFrame, order: str = "line_no") -> DataFrame:
     Comments, blank lines, lines of fewer than twelve columns and lines with a number that isn't one are
     dropped; further columns are ignored. A strand is the first character of its column, "+" if empty.
     """
-    text = F.regexp_replace("value", "\r$", "")
-    kept = lines.select(F.col(order).alias("line_no"), text.alias("line")).filter(~F.col("line").startswith("#") & (F.trim(F.regexp_replace("line", r"\s", "")) != ""))
-    fields = kept.select("line_no", F.split("line", "\t", -1).alias("f")).filter(F.size("f") >= len(PAF))
+    line = F.regexp_replace("value", "\r$", "")
+    kept = lines.filter(~F.col("value").startswith("#")).select(F.col(order).alias("line_no"), F.split(line, "\t", -1).alias("f")).filter(F.size("f") >= len(PAF))
 
     def column(i: int, kind: str) -> Column:
         value = F.col("f")[i]
@@ -36,7 +36,9 @@ def parse_paf(lines: DataFrame, order: str = "line_no") -> DataFrame:
             return F.when(value == "", "+").otherwise(F.left(value, F.lit(1)))
         return value if kind == "string" else _number(value, kind)
 
-    parsed = fields.select("line_no", *[column(i, kind).alias(name) for i, (name, kind) in enumerate(PAF)])
+    # inlined, so that later filters look at the parsed values and don't parse again
+    row = F.inline(F.array(F.struct(*[column(i, kind).alias(name) for i, (name, kind) in enumerate(PAF)])))
+    parsed = kept.select("line_no", row)
     return parsed.dropna(subset=[name for name, kind in PAF if kind in ("u32", "i64", "u8")]).withColumn("mapq", F.col("mapq").cast("smallint"))
 
 
