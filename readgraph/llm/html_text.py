@@ -69,17 +69,28 @@ def marked_id(name: str) -> bool:
 
 
 class _Reader(HTMLParser):
-    """Collects lines: text, characters outside links, tags, containers around, and whether it is cut."""
+    """Collects lines: text, characters outside links, tags, the container around, and whether it is cut.
+
+    Containers are numbered as they open, so those within number n are the ones from n to ``ends()[n]``. Each
+    knows the one around it, and what it needs of those farther out is handed down when it opens: a page
+    takes time and memory in proportion to its length, however deep it is nested.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, tuple[int, ...], bool]] = []
-        self.open: list[tuple[str, int, bool]] = [("", 0, False)]  # element, its number, whether cut
-        self.path: tuple[int, ...] = (0,)
-        self.kind: dict[int, str] = {0: ""}
+        self.lines: list[tuple[str, int, int, int, bool]] = []
+        self.open: list[tuple[str, int, bool]] = [("", 0, False)]  # element, its number (-1: none), whether cut
+        self.places: dict[str, list[int]] = {}  # places in ``open`` by element
+        self.here = 0  # the innermost open container
+        self.kind = [""]
+        self.parent = [-1]
+        self.depth = [0]
+        self.in_article = [False]
+        self.in_named = [False]  # whether names mark it or one around it
+        self.in_replies = [False]
         self.named: dict[int, bool] = {}  # elements that their names mark, and whether as REPLIES
-        self.titles: list[tuple[int, ...]] = []  # paths of h1 and main elements that aren't cut
-        self.articles: list[tuple[int, ...]] = []  # and of articles
+        self.titles: list[int] = []  # containers of h1 and main elements that aren't cut
+        self.articles: list[int] = []  # and of articles
         self.text: list[str] = []
         self.tags = self.plain = 0
         self.in_link = False
@@ -88,10 +99,24 @@ class _Reader(HTMLParser):
         self.link_line = True  # whether the link begins on this line
         self.doubtful: dict[int, int] = {}  # characters by line, of a link that has gone past the end of its own
 
+    def read(self, html: str) -> None:
+        """The whole page. Markup that is not finished at its end is no text; a last "<" is."""
+        self.feed(html)
+        if self.rawdata.startswith("<") and len(self.rawdata) > 1:
+            self.rawdata = ""
+        self.close()
+        self.end_link(closed=False)
+        self.end_line()
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """CDATA ends with "]]>"; any other section, and one that is not finished, is a comment up to ">"."""
+        end = self.rawdata.find("]]>", i) if self.rawdata[i + 3 : i + 9].lower() == "cdata[" else -1
+        return end + 3 if end >= 0 else self.parse_bogus_comment(i)
+
     def end_line(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            self.lines.append((text, self.plain, self.tags, self.path, self.open[-1][2]))
+            self.lines.append((text, self.plain, self.tags, self.here, self.open[-1][2]))
         else:
             self.doubtful.pop(len(self.lines), None)
         self.text = []
@@ -110,7 +135,7 @@ class _Reader(HTMLParser):
         self.in_link, self.doubtful = False, {}
 
     def is_never(self, tag: str, attrs) -> bool:
-        if tag in NEVER and not (tag in IN_ARTICLE and any(self.kind[i] in ("article", "main") for i in self.path)):
+        if tag in NEVER and not (tag in IN_ARTICLE and self.in_article[self.here]):
             return True
         if tag in ("html", "body", "main"):
             return False
@@ -121,97 +146,88 @@ class _Reader(HTMLParser):
                 return True
         return False
 
-    def note_names(self, number: int, tag: str, attrs) -> bool:
-        """Notes an element whose names mark it; whether to cut it is known at the page's end."""
+    def replies(self, tag: str, attrs) -> bool | None:
+        """Whether its names mark an element as REPLIES, or as something else; None if they don't."""
         if tag in ("html", "body", "main", "h1"):
-            return False
-        by = [(name, value) for name, value in attrs if value and (name == "class" and marked(value) or name == "id" and tag not in HEADINGS and marked_id(value))]
-        if by:
-            self.named[number] = any(REPLIES.fullmatch(n) for _, value in by for n in value.split())
-        return bool(by)
+            return None
+        by = [value for name, value in attrs if value and (name == "class" and marked(value) or name == "id" and tag not in HEADINGS and marked_id(value))]
+        return any(REPLIES.fullmatch(n) for value in by for n in value.split()) if by else None
+
+    def enter(self, tag: str, number: int, cut: bool) -> None:
+        self.places.setdefault(tag, []).append(len(self.open))
+        self.open.append((tag, number, cut))
+
+    def enter_container(self, tag: str, cut: bool, replies: bool | None) -> None:
+        """Opens a numbered element; whether to cut what names mark is known at the page's end."""
+        number, around = len(self.kind), self.here
+        if replies is not None:
+            self.named[number] = replies
+        self.kind.append(tag)
+        self.parent.append(around)
+        self.depth.append(self.depth[around] + 1)
+        self.in_article.append(self.in_article[around] or tag in ("article", "main"))
+        self.in_named.append(self.in_named[around] or replies is not None)
+        self.in_replies.append(self.in_replies[around] or bool(replies))
+        self.enter(tag, number, cut)
+        self.here = number
 
     def handle_starttag(self, tag: str, attrs) -> None:
         if tag in CONTAINERS or tag in NEVER:
             self.end_line()
             if tag in ("tr", "td", "th"):
                 self.close_to({"tr": ("tr", "td", "th")}.get(tag, ("td", "th")), ("table",))
-            number = len(self.kind)
-            self.kind[number] = tag
-            self.open.append((tag, number, self.open[-1][2] or self.is_never(tag, attrs)))
-            self.path += (number,)
-            self.note_names(number, tag, attrs)
-            if tag in ("main", "article") and not self.open[-1][2] and number not in self.named:
-                (self.titles if tag == "main" else self.articles).append(self.path)
+            cut, replies = self.open[-1][2] or self.is_never(tag, attrs), self.replies(tag, attrs)
+            self.enter_container(tag, cut, replies)
+            if tag in ("main", "article") and not cut and replies is None:
+                (self.titles if tag == "main" else self.articles).append(self.here)
         elif tag in BLOCKS:
             self.end_line()
             if tag not in ("hr",):
                 self.drop_block()
                 self.in_title = tag == "h1"
-                number = len(self.kind)
-                if tag == "h1" and not self.open[-1][2]:
-                    self.titles.append(self.path)
-                if not self.open[-1][2] and self.is_never(tag, attrs):
-                    self.open.append((tag, -1, True))
-                elif not self.open[-1][2] and self.note_names(number, tag, attrs):
-                    self.kind[number] = tag
-                    self.open.append((tag, number, False))
-                    self.path += (number,)
+                if not self.open[-1][2]:
+                    if tag == "h1":
+                        self.titles.append(self.here)
+                    if self.is_never(tag, attrs):
+                        self.enter(tag, -1, True)
+                    elif (replies := self.replies(tag, attrs)) is not None:
+                        self.enter_container(tag, False, replies)
         elif tag == "br":
             self.text.append(" ")
         elif tag == "a":
             self.end_link(closed=False)
             if any(name == "href" for name, _ in attrs):
-                self.in_link, self.link_depth, self.link_line = True, len(self.path), True
+                self.in_link, self.link_depth, self.link_line = True, self.depth[self.here], True
         self.tags += 1
 
+    def leave(self) -> None:
+        tag, number, _ = self.open.pop()
+        self.places[tag].pop()
+        if number >= 0:
+            self.here = self.parent[number]
+
     def drop_block(self) -> None:
         """A block ends the block before it; only blocks that are cut, or may be, are kept in mind."""
         if self.open[-1][0] in BLOCKS:
-            if self.open.pop()[1] >= 0:
-                self.path = self.path[:-1]
-
-    def cut_named(self) -> None:
-        """Cuts what names mark, unless it is a wrapper: the page's h1, main or largest article, or most of its text, are in it."""
-        if not self.named:
-            return
-        held: dict[int, int] = {}
-        for _, plain, _, path, cut in self.lines:
-            if not cut:
-                for n in path:
-                    held[n] = held.get(n, 0) + plain
-        total = held.get(0, 0)
-        spared = {n for path in self.titles for n in path}
-        largest = max((p for p in self.articles if not any(self.named.get(n) for n in p)), key=lambda p: held.get(p[-1], 0), default=())
-        if not any(set(p).isdisjoint(self.named) for p in self.titles):  # else the page's head is outside, and the article may be a teaser
-            spared.update(largest)
-        for n, replies in self.named.items():
-            if not replies and 2 * held.get(n, 0) > total or replies and held.get(n, 0) == total > 0:
-                spared.add(n)
-        gone = self.named.keys() - spared
-        self.lines = [(text, 0, tags, path, True) if not cut and not gone.isdisjoint(path) else (text, plain, tags, path, cut) for text, plain, tags, path, cut in self.lines]
+            self.leave()
 
     def close_to(self, tags: tuple[str, ...], stop: tuple[str, ...]) -> None:
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k][0] in stop:
-                return
-            if self.open[k][0] in tags:
-                self.cut_back(k)
-                return
+        last = lambda names: max((self.places[t][-1] for t in names if self.places.get(t)), default=0)
+        if last(tags) > last(stop):
+            self.cut_back(last(tags))
 
     def cut_back(self, k: int) -> None:
         self.end_line()
-        del self.open[k:]
-        self.path = tuple(n for _, n, _ in self.open if n >= 0)
-        if self.in_link and len(self.path) < self.link_depth:
+        while len(self.open) > k:
+            self.leave()
+        if self.in_link and self.depth[self.here] < self.link_depth:
             self.end_link(closed=False)
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
         if tag in CONTAINERS or tag in NEVER:
-            for k in range(len(self.open) - 1, 0, -1):
-                if self.open[k][0] == tag:
-                    self.cut_back(k)
-                    return
+            if self.places.get(tag):
+                self.cut_back(self.places[tag][-1])
         elif tag in BLOCKS:
             self.end_line()
             self.drop_block()
@@ -219,10 +235,7 @@ class _Reader(HTMLParser):
             self.end_link(closed=True)
 
     def handle_startendtag(self, tag: str, attrs) -> None:
-        if tag in VOID:
-            self.handle_starttag(tag, attrs)
-        else:  # HTML ignores the slash of other elements
-            self.handle_starttag(tag, attrs)
+        self.handle_starttag(tag, attrs)  # HTML ignores the slash
 
     def handle_data(self, data: str) -> None:
         self.text.append(data)
@@ -233,6 +246,52 @@ class _Reader(HTMLParser):
         elif not self.link_line:
             self.doubtful[len(self.lines)] = self.doubtful.get(len(self.lines), 0) + len(data)
 
+    def around(self, number: int) -> Iterator[int]:
+        """A container and those around it, outwards."""
+        while number >= 0:
+            yield number
+            number = self.parent[number]
+
+    def ends(self) -> list[int]:
+        """The largest number within each container."""
+        out = list(range(len(self.kind)))
+        for n in range(len(out) - 1, 0, -1):
+            out[self.parent[n]] = max(out[self.parent[n]], out[n])
+        return out
+
+    def sums(self, values: Iterator[tuple[int, int]]) -> list[int]:
+        """Values of containers, summed up over what is within each."""
+        out = [0] * len(self.kind)
+        for n, value in values:
+            out[n] += value
+        for n in range(len(out) - 1, 0, -1):
+            out[self.parent[n]] += out[n]
+        return out
+
+    def cut_named(self) -> None:
+        """Cuts what names mark, unless it is a wrapper: the page's h1, main or largest article, or most of its text, are in it."""
+        if not self.named:
+            return
+        held = self.sums((line[3], line[1]) for line in self.lines if not line[4])
+        total = held[0]
+        largest = max((n for n in self.articles if not self.in_replies[n]), key=held.__getitem__, default=-1)
+        wraps = list(self.titles)
+        if all(self.in_named[n] for n in self.titles):  # else the page's head is outside, and the article may be a teaser
+            wraps.append(largest)
+        spared: set[int] = set()
+        for number in wraps:
+            for n in self.around(number):
+                if n in spared:
+                    break
+                spared.add(n)
+        for n, replies in self.named.items():
+            if not replies and 2 * held[n] > total or replies and held[n] == total > 0:
+                spared.add(n)
+        gone = [n in self.named and n not in spared for n in range(len(self.kind))]
+        for n in range(1, len(gone)):
+            gone[n] = gone[n] or gone[self.parent[n]]
+        self.lines = [(text, 0, tags, n, True) if not cut and gone[n] else (text, plain, tags, n, cut) for text, plain, tags, n, cut in self.lines]
+
 
 def smoothed(ratios: list[float], sigma: float = SIGMA) -> list[float]:
     reach = math.ceil(2 * sigma)
@@ -268,10 +327,7 @@ def is_link(line: tuple) -> bool:
 def extract(html: str) -> str:
     """The main text: its lines, joined by newlines; empty if there is none."""
     reader = _Reader()
-    reader.feed(html)
-    reader.close()
-    reader.end_link(closed=False)
-    reader.end_line()
+    reader.read(html)
     reader.cut_named()
     lines = reader.lines
     ratios = [0.0 if cut else plain / max(tags, 1) for _, plain, tags, _, cut in lines]
@@ -282,32 +338,27 @@ def extract(html: str) -> str:
     upper = [i for i, v in enumerate(level) if v >= limit and ratios[i]]
     if not upper:
         upper = [i for i, r in enumerate(ratios) if r]
-    total = sum(lines[i][1] for i in upper)
-    held: dict[int, int] = {}
-    for i in upper:
-        for number in lines[i][3]:
-            held[number] = held.get(number, 0) + lines[i][1]
+    held = reader.sums((lines[i][3], lines[i][1]) for i in upper)
     # numbers grow inwards, so the largest that holds the share is the innermost
-    region = max(n for n, chars in held.items() if chars >= SHARE * total)
-    path = lines[upper[0]][3]
+    region = max(n for n, chars in enumerate(held) if chars >= SHARE * held[0])
+    end = reader.ends()
+    within = lambda i, n: n <= lines[i][3] <= end[n]
     # an article or main element around the region is the article, whole
-    for n in reversed(path):
-        if n <= region and reader.kind[n] in ("article", "main"):
-            return "\n".join(line[0] for line in lines if not line[4] and n in line[3])
+    for n in reader.around(region):
+        if reader.kind[n] in ("article", "main"):
+            return "\n".join(line[0] for i, line in enumerate(lines) if not line[4] and within(i, n))
+    uncut = [line for line in lines if not line[4]]
+    linked = reader.sums((line[3], len(line[0])) for line in uncut if is_link(line))
+    other = reader.sums((line[3], len(line[0])) for line in uncut if not is_link(line))
     whole = region
-    for n in reversed(path[: path.index(region)]):
-        added = [line for line in lines if not line[4] and n in line[3] and whole not in line[3]]
-        links = sum(len(line[0]) for line in added if is_link(line))
-        if links and links >= sum(len(line[0]) for line in added if not is_link(line)):
+    for n in reader.around(reader.parent[region]):
+        links = linked[n] - linked[whole]
+        if links and links >= other[n] - other[whole]:
             break
         whole = n
-    if reader.kind[region] in ("", "html", "body"):  # nothing encloses the text: links count only between the cluster's lines
-        own = range(upper[0], upper[-1] + 1)
-    else:
-        own = [i for i, line in enumerate(lines) if region in line[3]]
-    own = frozenset(own)
-    kept = [i for i, line in enumerate(lines) if not line[4] and whole in line[3] and (i in own or not is_link(line))]
-    return "\n".join(lines[i][0] for i in kept)
+    enclosed = reader.kind[region] not in ("", "html", "body")  # if nothing encloses the text, links count only between the cluster's lines
+    own = lambda i: within(i, region) if enclosed else upper[0] <= i <= upper[-1]
+    return "\n".join(line[0] for i, line in enumerate(lines) if not line[4] and within(i, whole) and (own(i) or not is_link(line)))
 
 
 def extract_pages(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
@@ -316,6 +367,8 @@ def extract_pages(pages: DataFrame, html: str = "html", keep: tuple[str, ...] =
     The whole of each page is parsed; null counts as empty. Every row is its own result: repeated rows and
     ties stay, an empty table gives an empty one; only ``html`` and the ``keep`` columns are read, and
     ``keep`` columns called text or n_chars are replaced. Very long pages are parsed as one string each.
+    Malformed markup is never an error: unknown declarations are comments, elements that are not closed end
+    with the page, and markup that is not finished at its end is left out.
     """
 
     def run(series_iter: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
