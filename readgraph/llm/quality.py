@@ -19,8 +19,8 @@ from .sampling import labelled_sample
 
 CHUNK, STRIDE, WIDTH, DIM, FILTERS, HIDDEN = 256, 224, 8, 4, 24, 16
 PAD = 256
-#: The network is fitted on at most so many labelled documents of at most so many characters.
-SAMPLE, SAMPLE_CHARS = 4_000, 30_000
+#: The network is fitted on about so many labelled documents, each by at most so many chunks, spread over all of it.
+SAMPLE, SAMPLE_CHUNKS = 4_000, 128
 EPOCHS, BATCH, RATE, SEED = 6, 32, 4e-3, 11
 #: A small sample is gone over until so many steps are made.
 LEAST_STEPS = 200
@@ -36,6 +36,11 @@ def chunks(text: str) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(padded, CHUNK)[::STRIDE]
 
 
+def spread(rows: np.ndarray, most: int = SAMPLE_CHUNKS) -> np.ndarray:
+    """At most so many rows, at even distances from the first to the last."""
+    return rows if len(rows) <= most else rows[np.linspace(0, len(rows) - 1, most).round().astype(int)]
+
+
 class ByteConvNet:
     def __init__(self, seed: int = SEED):
         rng = np.random.default_rng(seed)
@@ -138,9 +143,8 @@ class ByteConvNet:
             "hidden_bias": g_z.sum(0), "out": both.T @ g_out, "out_bias": g_out.sum(keepdims=True),
         }
 
-    def fit(self, texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> ByteConvNet:
-        """Adam over shuffled batches, with a falling rate; it sets out from the labels' shares."""
-        rows = [chunks(t) for t in texts]
+    def fit(self, rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> ByteConvNet:
+        """Adam over shuffled batches of texts, given by their chunks, with a falling rate; it sets out from the labels' shares."""
         y = np.asarray(labels, np.float32)
         self.p["out_bias"][:] = np.log((y.sum() + 1) / (len(y) - y.sum() + 1))
         epochs = max(epochs, -(-LEAST_STEPS * BATCH // len(rows)))
@@ -174,11 +178,18 @@ class Constant:
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, sample: int = SAMPLE):
-    found = labelled_sample(docs, labels, "quality", folds, held_out, sample, SAMPLE_CHARS)
+    """Fitted on about ``sample`` labelled rows outside the held-out fold; the driver gets at most SAMPLE_CHUNKS chunks of each."""
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"doc_id": frame["doc_id"].astype(str), "label": frame["label"], "rows": [spread(chunks(t)).tobytes() for t in frame["text"]]})
+
+    taken = labelled_sample(docs, labels, "quality", folds, held_out, sample)
+    found = taken.mapInPandas(cut, "doc_id string, label int, rows binary").toPandas().sort_values("doc_id")  # so that reruns agree
     y = found["label"].to_numpy()
     if len(set(y)) < 2:
         return Constant(y)
-    return ByteConvNet().fit(found["text"].tolist(), y)
+    return ByteConvNet().fit([np.frombuffer(r, np.int16).reshape(-1, CHUNK) for r in found["rows"]], y)
 
 
 def score(docs: DataFrame, model, key: str = "doc_id", text: str = "text", folds: int = 3, held_out: int = 1, threshold: float = 0.5) -> DataFrame:
