@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
+import uuid
 from collections.abc import Iterator
 from itertools import chain
 
@@ -24,10 +26,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A task keeps at most so many encoded pieces (distinct matches of the pattern).
-CACHE_PIECES = 400_000
+#: A worker keeps so many encoded pieces (distinct matches of the pattern) and words, and as many older ones.
+CACHE_PIECES, CACHE_WORDS = 120_000, 250_000
 CACHE_PAIRS = 1_000_000
-NEVER = 1 << 62
+NEVER, SHIFT = 1 << 62, 32
 
 
 class BpeModel:
@@ -39,7 +41,7 @@ class BpeModel:
         self.pairs: dict[tuple[int, int], int] = {}
         self.lefts: dict[int, list[tuple[int, int]]] = {}
         self.rights: dict[int, list[tuple[int, int]]] = {}
-        self._ok: dict[tuple[int, int], bool] = {}
+        self._ok: dict[int, bool] = {}  # may_follow by a << SHIFT | b
         missing = [b for b in range(256) if bytes([b]) not in ranks]
         if missing:
             raise ValueError(f"the vocabulary lacks single bytes: {missing[:5]}")
@@ -49,14 +51,10 @@ class BpeModel:
             self._add(token, i)
         self._ok.clear()
         self.merged = {b: i for b, i in ranks.items() if len(b) > 1 and i not in self.unmergeable}
-        #: Lengths of the tokens with these last three (or only two) bytes, the longest first.
-        self.endings: dict[bytes, tuple[int, ...]] = {}
-        for token in sorted(self.merged, key=len, reverse=True):
-            if (n := len(token)) > 2 and n not in (found := self.endings.get(token[-3:], ())):
-                self.endings[token[-3:]] = (*found, n)
-        for three in self.endings:
-            if three[1:] in self.merged:
-                self.endings[three] += (2,)
+        #: Tokens by their bytes from the last to the first: a tree of (tokens that end as the way to here, the longest
+        #: first, as (length, id); branches by the byte before). Its first two levels are one list, by the last two bytes.
+        self.endings: list[tuple | None] = [None] * 65_536
+        self._grow(sorted((token[::-1], i) for token, i in self.merged.items()))
         self.longest = max(map(len, ranks))
 
     def _add(self, token: bytes, i: int) -> None:
@@ -73,13 +71,29 @@ class BpeModel:
                 return
         self.unmergeable.add(i)
 
+    def _grow(self, turned: list[tuple[bytes, int]]) -> None:
+        way: list[tuple] = []  # nodes from two bytes on
+        before = b""
+        for token, i in turned:  # in order, so that a token comes after its own beginnings
+            same = next((k for k, (x, y) in enumerate(zip(before, token, strict=False)) if x != y), min(len(before), len(token)))
+            del way[max(same - 1, 0) :]
+            for depth in range(len(way) + 2, len(token) + 1):
+                above = way[-1][0] if way else ()
+                node = (((depth, i), *above) if depth == len(token) else above, {})
+                if way:
+                    way[-1][1][token[depth - 1]] = node
+                else:
+                    self.endings[token[1] << 8 | token[0]] = node
+                way.append(node)
+            before = token
+
     def may_follow(self, a: int, b: int) -> bool:
         """Whether the bytes of a and b together are encoded as a, b.
 
         Each token along a border lives until the merge that takes it in. A pair across the border
         that lives at the time of its own merge would be merged; of equal merges the left one is first.
         """
-        found = self._ok.get((a, b))
+        found = self._ok.get(a << SHIFT | b)
         if found is None:
             get = self.pairs.get
             found = True
@@ -93,22 +107,31 @@ class BpeModel:
                     break
             if len(self._ok) >= CACHE_PAIRS:
                 self._ok.clear()
-            self._ok[a, b] = found
+            self._ok[a << SHIFT | b] = found
         return found
 
     def extend(self, data: bytes, last: list[int], upto: int | None = None) -> None:
         """Grow the table (``last[0]`` is -1) to ``upto`` bytes of ``data``."""
-        token_of, endings, known, may_follow = self.merged.get, self.endings.get, self._ok.get, self.may_follow
-        ranks = self.ranks
+        endings, known, may_follow, ranks = self.endings, self._ok.get, self.may_follow, self.ranks
         for end in range(len(last), (len(data) if upto is None else upto) + 1):
-            for n in endings(data[end - 3 : end] if end > 2 else data[:end], (2,)):
-                t = token_of(data[end - n : end]) if n <= end else None
-                if t is not None:
+            node = endings[data[end - 2] << 8 | data[end - 1]] if end > 1 else None
+            if node is not None:
+                k = end - 3
+                while k >= 0 and (longer := node[1].get(data[k])) is not None:
+                    node = longer
+                    k -= 1
+                for n, t in node[0]:
                     before = last[end - n]
-                    fits = before < 0 or known((before, t))
-                    if fits or fits is None and may_follow(before, t):
-                        last.append(t)
-                        break
+                    if before >= 0:
+                        fits = known(before << SHIFT | t)
+                        if fits is None:
+                            fits = may_follow(before, t)
+                        if not fits:
+                            continue
+                    last.append(t)
+                    break
+                else:
+                    last.append(ranks[data[end - 1 : end]])
             else:
                 last.append(ranks[data[end - 1 : end]])
 
@@ -212,22 +235,37 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
-class _Pieces(dict):
-    """Packed ids by piece, computed when asked for, forgotten when there are too many."""
+class _Held(dict):
+    """Values by string, made when asked for; those not asked for since ``most`` others came are forgotten."""
+
+    def __init__(self, most: int):
+        self.most, self.older = most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        if len(key) <= 64:
+            self[key] = value
+        return value
+
+
+class _Pieces(_Held):
+    """Packed ids by piece."""
 
     def __init__(self, model: BpeModel):
+        super().__init__(CACHE_PIECES)
         self.model = model
 
-    def __missing__(self, piece: str) -> bytes:
-        packed = np.array(self.model.encode_piece(piece.encode()), "<u4").tobytes()
-        if len(self) >= CACHE_PIECES:
-            self.clear()
-        if len(piece) <= 64:
-            self[piece] = packed
-        return packed
+    def make(self, piece: str) -> bytes:
+        ids = self.model.encode_piece(piece.encode())
+        return struct.pack(f"<{len(ids)}I", *ids)
 
 
-class _Words(dict):
+class _Words(_Held):
     """Packed ids of a space and a word; empty for a word that isn't split from what follows by itself.
 
     A match of the pattern takes at most one space, as its first character, before anything but white
@@ -236,15 +274,11 @@ class _Words(dict):
     """
 
     def __init__(self, pieces: _Pieces, find):
+        super().__init__(CACHE_WORDS)
         self.pieces, self.find, self.space = pieces, find, regex.compile(r"\s").match
 
-    def __missing__(self, word: str) -> bytes:
-        packed = b"" if not word or self.space(word) else self.matches(" " + word)
-        if len(self) >= CACHE_PIECES:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = packed
-        return packed
+    def make(self, word: str) -> bytes:
+        return b"" if not word or self.space(word) else self.matches(" " + word)
 
     def matches(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.find(text)))
@@ -255,6 +289,18 @@ class _Words(dict):
         return self.matches(text) if b"" in parts else self.matches(first) + b"".join(parts)
 
 
+#: The coder of the last call that this process worked for, so that its tasks build tables and caches once a worker.
+_coder: tuple[str, _Words] | None = None
+
+
+def _coder_for(call: str, ranks: dict[bytes, int], pattern: str) -> _Words:
+    global _coder
+    if _coder is None or _coder[0] != call:
+        _coder = None  # freed before the next is built
+        _coder = call, _Words(_Pieces(BpeModel(ranks)), regex.compile(pattern).findall)
+    return _coder[1]
+
+
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", keep_ids: bool = False, split_at_spaces: bool = True) -> DataFrame:
     """Encode and decode every whole text.
 
@@ -263,7 +309,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     ``keep_ids`` also ``ids``. A null or empty text has no ids. Each row is its own result: repeated
     rows and ties stay, an empty table gives an empty one, other columns pass through, and columns of
     those names are replaced. The rank file (about 50,000 entries, fixed by the vocabulary) goes to each
-    task once, as a broadcast. Texts are split at spaces before the pattern is applied (see ``_Words``);
+    worker once, as a broadcast. Texts are split at spaces before the pattern is applied (see ``_Words``);
     patterns in which a space can be elsewhere than first in a match or in white space need
     ``split_at_spaces=False``.
     """
@@ -273,12 +319,11 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     rest = [c for c in docs.columns if c != text and c not in added]
     taken = docs.select(*[F.col(f"`{c}`") for c in rest], source)
     schema = "struct<n_tokens: bigint, ids_sha256: string, decoded_sha256: string" + ", ids: array<bigint>" * keep_ids + ">"
-    shared = spark.sparkContext.broadcast((ranks, pattern))
+    shared, call = spark.sparkContext.broadcast((ranks, pattern)), uuid.uuid4().hex
 
     def run(series_iter: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        ranks_, pattern_ = shared.value
-        model = BpeModel(ranks_)
-        words, vocab = _Words(_Pieces(model), regex.compile(pattern_).findall), model.vocab.__getitem__
+        words = _coder_for(call, *shared.value)
+        vocab = words.pieces.model.vocab.__getitem__
         for series in series_iter:
             out = []
             for value in series:

@@ -196,7 +196,7 @@ def written(spans: list[tuple[int, int, int]]) -> str:
 
 
 def scan(docs: DataFrame, text: str = "text", samples: list[tuple[str, int]] | None = None) -> DataFrame:
-    """Adds ``n_assign, n_access, n_hex, n_random, base_sha256, spans`` to the rows, without ``text``.
+    """Adds ``n_assign, n_access, n_hex, base_sha256, spans, n_random`` to the rows, without ``text``.
 
     Positions count code points, ends exclusive. ``spans`` lists base and random spans by start, then
     kind. A null or empty text has none, and the digest of an empty list. Every row is its own result:
@@ -205,7 +205,7 @@ def scan(docs: DataFrame, text: str = "text", samples: list[tuple[str, int]] | N
     """
     model = RandomStrings(samples or default_samples())
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    added = ["n_assign", "n_access", "n_hex", "n_random", "base_sha256", "spans"]
+    added = ["n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random"]
 
     def run(series_iter: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         found = shared.value
@@ -215,9 +215,9 @@ def scan(docs: DataFrame, text: str = "text", samples: list[tuple[str, int]] | N
                 base = base_spans(value)
                 more = random_spans(value, base, found)
                 kinds = [k for _, k, _ in base]
-                rows.append((kinds.count(0), kinds.count(1), kinds.count(2), len(more), hashlib.sha256(written(base).encode()).hexdigest(), written(sorted(base + more))))
+                rows.append((kinds.count(0), kinds.count(1), kinds.count(2), hashlib.sha256(written(base).encode()).hexdigest(), written(sorted(base + more)), len(more)))
             yield pd.DataFrame(rows, columns=added)
 
-    udf = F.pandas_udf(run, "struct<n_assign: bigint, n_access: bigint, n_hex: bigint, n_random: bigint, base_sha256: string, spans: string>")
+    udf = F.pandas_udf(run, "struct<n_assign: bigint, n_access: bigint, n_hex: bigint, base_sha256: string, spans: string, n_random: bigint>")
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text and c not in added]
     return docs.select(*rest, udf(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))).alias("__found")).select(*rest, "__found.*")
