@@ -1,4 +1,4 @@
-"""Connected components by minimum labels and pointer jumping."""
+"""Connected components by randomised contraction."""
 
 from __future__ import annotations
 
@@ -12,22 +12,33 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     """``node, component`` of every endpoint; a component's label is its smallest node.
 
     Direction doesn't matter; loops, repeated and reversed edges are harmless; rows with a null
-    endpoint are dropped; no edges give no rows. Each round takes the smallest label among a node's
-    neighbours and then the label of that label, so labels travel twice as far every round. The loop
-    ends when a round changes nothing. Rounds are written to the shared folder; the joins are equi-joins
-    on node ids, so the edges of a hub are split by Spark's skew join.
+    endpoint are dropped; no edges give no rows. In each round every node takes as its representative the
+    first of its neighbours and itself in the order of a hash that differs by round, and the graph is
+    contracted to the representatives. Whatever the graph and the names of its nodes, a round leaves three
+    quarters of the nodes or less on average (Bögeholz, Brand and Todor, 2018), so the rounds grow with
+    their logarithm and their work with their number. The representatives are then followed back from the last
+    round to the first. Rounds are written to the shared folder; the joins are equi-joins on node ids, so
+    the edges of a hub are split by Spark's skew join.
     """
+    return contracted(edges, src, dst)[0]
+
+
+def contracted(edges: DataFrame, src: str, dst: str) -> tuple[DataFrame, int]:
+    """The components and the number of rounds."""
     plain = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u IS NOT NULL AND v IS NOT NULL")
     both = materialize(plain.union(plain.select("v", "u")).distinct(), "cc-edges")
-    labels = both.groupBy(F.col("u").alias("node")).agg(F.least(F.first("u"), F.min("v")).alias("component"))
-    labels = materialize(labels, "cc-labels")
-    while True:
-        near = both.join(labels, both["v"] == labels["node"]).groupBy("u").agg(F.min("component").alias("near"))
-        lower = labels.join(near, labels["node"] == near["u"], "left").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
-        jump = lower.select(F.col("node").alias("at"), F.col("component").alias("further"))
-        stepped = lower.join(jump, lower["component"] == jump["at"], "left").select("node", "old", F.least("component", "further").alias("component"))
-        stepped = materialize(stepped, "cc-labels")
-        changed = stepped.filter("old <> component").limit(1).count()
-        labels = stepped.select("node", "component")
-        if not changed:
-            return labels
+    rounds: list[DataFrame] = []
+    while not rounds or not both.isEmpty():
+        order = lambda c, k=len(rounds): F.struct(F.xxhash64(F.lit(k), c).alias("h"), F.col(c).alias("r"))
+        chosen = both.groupBy("u").agg(F.min(order("v")).alias("near")).select("u", F.least(order("u"), "near")["r"].alias("r"))
+        rounds.append(chosen := materialize(chosen, "cc-round"))
+        half = both.join(chosen, "u").select(F.col("r").alias("ru"), F.col("v").alias("u"))
+        whole = half.join(chosen, "u").filter("ru <> r").select(F.col("ru").alias("u"), F.col("r").alias("v"))
+        both = materialize(whole.distinct(), "cc-edges")
+    found = rounds[-1]
+    for before in reversed(rounds[:-1]):
+        later = found.select(F.col("u").alias("r"), F.col("r").alias("further"))
+        found = before.join(later, "r", "left").select("u", F.coalesce("further", "r").alias("r"))
+    found = materialize(found, "cc-found")
+    names = found.groupBy("r").agg(F.min("u").alias("component"))
+    return materialize(found.join(names, "r").select(F.col("u").alias("node"), "component"), "cc-labels"), len(rounds)

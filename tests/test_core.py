@@ -215,6 +215,51 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "src string, dst string")).count() == 0
 
 
+def test_component_rounds_grow_with_the_logarithm(spark):
+    """Two long stretches whose smallest names are in their middles, where labels that travel a node a round take a thousand rounds."""
+    n = 2_000
+    names = [abs(i - n // 2) * 2 + (0 if half else 1) for half in (0, 1) for i in range(n)]
+    line = [(a * 10 + i % 10, b * 10 + (i + 1) % 10) for i, (a, b) in enumerate(zip(names, names[1:], strict=False))]
+    found, rounds = components.contracted(spark.createDataFrame(line, "src bigint, dst bigint"), "src", "dst")
+    labels = {r["component"] for r in found.collect()}
+    assert labels == {min(x for pair in line for x in pair)} and rounds <= 40
+
+
+def test_alignments_that_cannot_be_used(spark):
+    from readgraph.config import FilterConfig
+    from readgraph.operators import filtering
+
+    config = FilterConfig(min_overlap_length=20, min_percent_identity=5.0)
+    row = ["q", 100, 0, 90, "+", "t", 120, 5, 95, 80, 90]
+    put = lambda **at: [at.get(f"c{i}", x) for i, x in enumerate(row)]
+    for bad, said in ((put(c2=-1), "beyond"), (put(c3=101), "beyond"), (put(c7=-2), "beyond"), (put(c8=121), "beyond"), (put(c4="*"), "strand")):
+        for f in (lambda df: filtering.passing(df, config).select("line_no"), lambda df: filtering.filter_counts(df, config)):
+            with pytest.raises(Exception, match=said):
+                f(align(spark, [tuple(row), tuple(bad)])).collect()
+    left_out = [tuple(put(c5="q", c3=500)), tuple(put(c3=10, c2=-5)), tuple(put(c9=1, c8=500))]  # itself, short, unlike: never looked at closer
+    assert filtering.passing(align(spark, [tuple(row), *left_out]), config).count() == 1
+
+
+def test_kept_and_released_tables(spark):
+    from readgraph.plans import lineage
+
+    made = []
+
+    def build():
+        made.append(1)
+        return spark.range(5)
+
+    first, again = (lineage.kept(spark, "a test", build) for _ in range(2))
+    assert first.count() == again.count() == 5 and len(made) == 1
+    held = lineage.materialize(spark.range(3), "a-test")
+    assert held.count() == 3 and lineage.release(spark) >= 1
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        spark.read.parquet(held.inputFiles()[0]).count()
+    assert lineage.kept(spark, "a test", build).count() == 5 and len(made) == 1
+    lineage.release(spark, whole=True)
+    assert lineage.kept(spark, "a test", build).count() == 5 and len(made) == 2
+
+
 def test_tips(spark):
     two = make(spark, [("a+", "b+")])
     assert ids(tips.trim_tips(two, 4).nodes) == []
@@ -292,6 +337,45 @@ def test_bubbles(spark):
     assert ids(bubbles.bubble_nodes(equal, 100, 1.0)) == []
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_bubbles_by_neighbourhood(spark, seed):
+    """Of one component, bubbles apart by long stretches are groups of their own; the result is that of the kernel over all of it."""
+    r = random.Random(seed)
+    rows, at, count = {}, "m0000", 0
+
+    def name():
+        nonlocal count
+        count += 1
+        return f"{r.choice('abmxyz')}{count:04d}"
+
+    def link(s, d):
+        rows[s, d] = rows[rc(d), rc(s)] = (r.choice([5, 5, 9]), r.choice([100, 200, 400]), r.choice([80.0, 95.0]))
+
+    for _ in range(12):
+        for _ in range(r.choice([0, 2, 3, 5, 12])):  # a stretch without branches
+            at, before = name(), at
+            link(before + "+", at + "+")
+        end = name()
+        for _ in range(r.choice([1, 2, 2, 3])):  # paths that meet
+            path = [at, *[name() for _ in range(r.choice([1, 1, 2, 4]))], end]
+            for s, d in zip(path, path[1:], strict=False):
+                link(s + "+", d + "+")
+        at = end
+    edges = [(s, d, *e) for (s, d), e in rows.items()]
+    nodes = {x for e in edges for x in e[:2]}
+    g = graph.Graph(spark.createDataFrame([(n,) for n in nodes], "node_id string"), spark.createDataFrame(edges, EDGE))
+    for most in (1, 3, 5):
+        want = bubbles.Component(iter(edges), nodes).remove_bubbles(most, 1.0)
+        assert ids(bubbles.bubble_nodes(g, most, 1.0)) == want
+        near = bubbles.near_branches(g, most)
+        # what the searches from the targets of branching nodes look at, by the kernel's own search
+        whole = bubbles.Component(iter(edges), nodes)
+        seen = {n for n, out in whole.out.items() if len(out) > 1}
+        seen |= {x for n in list(seen) for e in whole.out[n] for x, found in whole.reach(e[1], most).items() if found[0] < most}
+        assert {tuple(x) for x in near.select("src", "dst").collect()} == {e[:2] for e in edges if e[0] in seen}
+    assert want and near.count() < len(edges)
+
+
 def test_many_singletons(spark):
     """All nodes without an edge, and those with a loop only; not those that bubble removal leaves joined."""
     diamond = [("s+", "x+", 5, 100, 90), ("x+", "t+", 5, 300, 90), ("s+", "y+", 6, 100, 90), ("y+", "t+", 5, 100, 90), ("y+", "z+", 5, 100, 90)]
