@@ -9,8 +9,8 @@ neighbours have been reached. (A sample is thinner than the whole, so the share
 The codebooks are fitted on a bounded sample; every vector is indexed. Work is dealt in tiles. A tile has
 vectors with one first centroid and queries that visit it, with the second centroids that each visits. Both
 are split in parts of bounded size, so a centroid that holds a third of all vectors, or that all queries
-visit, is many tasks' work. Of equal vectors only the k + 1 with the smallest ids are indexed, since no
-other can be among the k nearest (ties go to smaller ids).
+visit, is many tasks' work. Repeated rows are indexed once, with their number. Of equal vectors only the
+k + 1 with the smallest ids are indexed, since no other can be among the k nearest (ties go to smaller ids).
 """
 
 from __future__ import annotations
@@ -23,8 +23,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
+from .sampling import below
 
-#: The codebooks are fitted on at most so many vectors, the first in the order of a hash.
+#: The codebooks are fitted on about so many vectors, those below a threshold of a hash of their id.
 SAMPLE, ROUNDS = 20_000, 12
 #: Recall to aim at, measured with so many of the sample as queries.
 RECALL, PROBES = 0.96, 200
@@ -118,23 +119,26 @@ def usable(vector) -> F.Column:
 def search(vectors: DataFrame, is_query, k: int = 10, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: the k nearest found of each row for which ``is_query`` holds.
 
-    Nearness is Euclidean distance; a row's own id is no candidate of its query; all candidates are
-    returned if there are fewer than k. Vectors that are null, zero or hold null or non-finite components
-    take no part, nor do rows with a null id or with another number of dimensions than most of the sample.
-    Repeated rows count once. An empty table gives an empty result; other columns are not read.
+    Nearness is Euclidean distance; a row is no candidate of its own query, but another row with its id, or a
+    repeated one, is; all candidates are returned if there are fewer than k. Each row is a query of its own,
+    so repeated query rows have repeated results. Vectors that are null, zero or hold null or non-finite
+    components take no part, nor do rows with a null id, or with another number of dimensions than most of
+    the sample, to which there is no distance. An empty table gives an empty result; other columns are not read.
     """
     spark = vectors.sparkSession
     schema = "query_id bigint, rank int, vec_id bigint, score double"
     read = vectors.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("v"))
     sound = read.filter(F.col("id").isNotNull() & usable(F.col("v")))
-    sample = sound.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas()["v"].tolist()
-    if not sample:
+    n_rows = sound.count()
+    if not n_rows:
         return spark.createDataFrame([], schema)
+    sample = sound.filter(below(F.concat_ws(",", "id", F.xxhash64("v")), SAMPLE / n_rows)).orderBy("id", F.xxhash64("v")).toPandas()["v"].tolist()
     dims = int(np.bincount([len(v) for v in sample]).argmax())
     sound = sound.filter(F.size("v") == dims)
     x = np.array([v for v in sample if len(v) == dims])
+    rows = sound.groupBy("id", "v").agg(F.count(F.lit(1)).alias("copies"))
     first = Window.partitionBy(F.xxhash64("v"), "v").orderBy("id")
-    distinct = sound.withColumn("__r", F.dense_rank().over(first)).filter(F.col("__r") <= k + 1).drop("__r").dropDuplicates(["id", "v"])
+    distinct = rows.withColumn("__r", F.row_number().over(first)).filter(F.col("__r") <= k + 1).drop("__r")
     distinct = materialize(distinct, "ann-vectors")
     n = distinct.count()
     index = MultiIndex(x, centroids_for(n))
@@ -143,51 +147,59 @@ def search(vectors: DataFrame, is_query, k: int = 10, key: str = "vec_id", vecto
 
     @F.pandas_udf("long")
     def cell_of(v: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.cells(np.array(v.tolist(), float).reshape(len(v), dims)))
+        return pd.Series(shared.value.cells(np.array(v.tolist(), float).reshape(len(v), dims)), dtype="int64")
 
     width = len(index.books[1])
     cells = distinct.withColumn("cell", cell_of("v"))
-    indexed = materialize(cells.select("id", "v", F.floor(F.col("cell") / width).alias("first"), (F.col("cell") % width).cast("int").alias("second")), "ann-index")
+    indexed = materialize(cells.select("id", "v", "copies", F.floor(F.col("cell") / width).alias("first"), (F.col("cell") % width).cast("int").alias("second")), "ann-index")
     counted = indexed.groupBy("first", "second").agg(F.count(F.lit(1)).alias("n")).collect()  # one row a cell, 65,536 at most
     shared_sizes = spark.sparkContext.broadcast({r["first"] * width + r["second"]: r["n"] for r in counted})
 
     def traverse(frames):
         for frame in frames:
             rows = []
-            for i, v in zip(frame["id"], frame["v"], strict=True):
-                rows += [(i, v, first, seconds) for first, seconds in shared.value.visits(np.array(v, float), shared_sizes.value, enough).items()]
-            yield pd.DataFrame(rows, columns=["id", "v", "first", "seconds"])
+            for i, v, own, copies in zip(frame["id"], frame["v"], frame["own"], frame["copies"], strict=True):
+                rows += [(i, v, own, copies, first, seconds) for first, seconds in shared.value.visits(np.array(v, float), shared_sizes.value, enough).items()]
+            yield pd.DataFrame(rows, columns=["id", "v", "own", "copies", "first", "seconds"])
 
-    queries = sound.filter(is_query(F.col("id"))).dropDuplicates(["id", "v"])
-    visits = materialize(queries.mapInPandas(traverse, "id long, v array<double>, first long, seconds array<int>"), "ann-visits")
+    # ``own`` tells queries with one id apart
+    queries = rows.filter(is_query(F.col("id"))).select("id", "v", F.xxhash64("v").alias("own"), "copies")
+    visits = materialize(queries.mapInPandas(traverse, "id long, v array<double>, own long, copies long, first long, seconds array<int>"), "ann-visits")
     # one row a centroid, 256 at most, so these are broadcast
     asked = visits.groupBy("first").agg(F.ceil(F.count(F.lit(1)) / GROUP_QUERIES).cast("int").alias("groups"))
     blocks = indexed.groupBy("first").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
     tiles = F.broadcast(materialize(asked.join(blocks, "first"), "ann-tiles"))
 
-    def dealt(df: DataFrame, own: str, other: str, more: str) -> DataFrame:
+    def dealt(df: DataFrame, part: str, other: str, *more: str) -> DataFrame:
         """Each row goes to one part of its own kind and meets all parts of the other."""
-        mine = F.pmod(F.xxhash64("id"), F.col(own)).cast("int").alias(own)
-        return df.join(tiles, "first").select("id", "v", more, "first", mine, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other))
+        mine = F.pmod(F.xxhash64("id", "v"), F.col(part)).cast("int").alias(part)
+        return df.join(tiles, "first").select("id", "v", "copies", *more, "first", mine, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other))
 
     keys = ["first", "groups", "blocks"]
 
     def ranked(asking: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(held):
-            ids, x, second = held["id"].to_numpy(), np.array(held["v"].tolist(), float), held["second"].to_numpy()
-            for qid, q, seconds in zip(asking["id"], asking["v"], asking["seconds"], strict=True):
+            ids, x, second, copies = held["id"].to_numpy(), np.array(held["v"].tolist(), float), held["second"].to_numpy(), held["copies"].to_numpy()
+            for qid, q, own, times, seconds in zip(asking["id"], asking["v"], asking["own"], asking["copies"], asking["seconds"], strict=True):
                 visited = np.zeros(width, bool)
                 visited[seconds] = True
-                mine = visited[second] & (ids != qid)
-                d, i = np.sqrt(((x[mine] - np.asarray(q, float)) ** 2).sum(1)), ids[mine]
+                mine = np.flatnonzero(visited[second])
+                q = np.asarray(q, float)
+                d, i, c = np.sqrt(((x[mine] - q) ** 2).sum(1)), ids[mine], copies[mine]
+                c = c - ((i == qid) & (x[mine] == q).all(1))  # the query's own row
+                if (c == 0).any():
+                    d, i, c = d[c > 0], i[c > 0], c[c > 0]
                 if len(d) > k:
                     near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
-                    d, i = d[near], i[near]
+                    d, i, c = d[near], i[near], c[near]
                 best = np.lexsort((i, d))[:k]
-                out.append(pd.DataFrame({"query_id": qid, "vec_id": i[best], "score": d[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-
-    near = dealt(visits, "groups", "blocks", "seconds").groupBy(*keys).cogroup(dealt(indexed, "blocks", "groups", "second").groupBy(*keys)).applyInPandas(ranked, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                best = np.repeat(best, np.minimum(c[best], k))[:k]
+                out.append(pd.DataFrame({"query_id": qid, "own": own, "times": times, "vec_id": i[best], "score": d[best]}))
+        return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("query_id", "own", "times", "vec_id", "score")})
+
+    asked_tiles, held_tiles = dealt(visits, "groups", "blocks", "own", "seconds"), dealt(indexed, "blocks", "groups", "second")
+    near = asked_tiles.groupBy(*keys).cogroup(held_tiles.groupBy(*keys)).applyInPandas(ranked, "query_id long, own long, times long, vec_id long, score double")
+    order = Window.partitionBy("query_id", "own").orderBy("score", "vec_id")
+    best = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return best.select("query_id", "rank", "vec_id", "score", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).drop("col")

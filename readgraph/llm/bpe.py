@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import carried
+
 #: A worker keeps so many encoded pieces (distinct matches of the pattern) and words, and as many older ones.
 CACHE_PIECES, CACHE_WORDS = 120_000, 250_000
 CACHE_PAIRS = 1_000_000
@@ -315,9 +317,6 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     """
     spark = docs.sparkSession
     added = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * keep_ids
-    source = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("__text")
-    rest = [c for c in docs.columns if c != text and c not in added]
-    taken = docs.select(*[F.col(f"`{c}`") for c in rest], source)
     schema = "struct<n_tokens: bigint, ids_sha256: string, decoded_sha256: string" + ", ids: array<bigint>" * keep_ids + ">"
     shared, call = spark.sparkContext.broadcast((ranks, pattern)), uuid.uuid4().hex
 
@@ -334,4 +333,5 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
             yield pd.DataFrame(out, columns=added)
 
     coded = F.pandas_udf(run, schema)
-    return taken.withColumn("__coded", coded(F.col("__text"))).select(*[F.col(f"`{c}`") for c in rest], "__coded.*")
+    numbered, named = carried(docs, text.lower(), *added)
+    return docs.select(*numbered, coded(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))).alias("coded")).select(*named, "coded.*")

@@ -8,7 +8,7 @@ from pyspark.sql.column import Column
 
 from ..plans.lineage import materialize
 
-__all__ = ["is_held_out", "materialize", "table"]
+__all__ = ["carried", "is_held_out", "materialize", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,3 +19,8 @@ def is_held_out(doc_id: Column, folds: int, fold: int) -> Column:
     """crc32 of doc_id as text, modulo ``folds``, is ``fold``; false where doc_id is null."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
+
+def carried(docs: DataFrame, *but: str) -> tuple[list[Column], list[Column]]:
+    """All columns but the named ones (in any case): numbered, so that no name is in an operator's way, and then under their names again."""
+    names = [c for c in docs.columns if c.lower() not in but]
+    return [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], [F.col(f"c{i}").alias(c) for i, c in enumerate(names)]

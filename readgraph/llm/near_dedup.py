@@ -13,9 +13,9 @@ equal this is the Jaccard similarity.
 3. Links: each member of a bucket is compared with the bucket's first, exactly. That settles a bucket of
    near copies of one text: pairs within it are never listed. Where a bucket's members are then still of
    several classes, those outside its largest class are compared with all of other classes. This is done
-   in tiles of bounded size: within one, signatures are compared as matrices, likely partners are verified
-   exactly, and one link is reported for two classes. A pair of nodes is looked at in the first band they
-   share, so no pair that shares a bucket is left out, and none is a row.
+   in tiles of bounded size: within one, signatures tell the first band that two nodes share, in which they
+   are compared exactly, and one link is reported for two classes. So no pair that shares a bucket is left
+   out, and none is a row.
 4. Classes: connected components of the links.
 """
 
@@ -31,15 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .common import materialize
+from .common import carried, materialize
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: A pair at the threshold shares a bucket with probability 1 - (1 - 0.8**5)**20 = 0.9996.
 BANDS, ROWS = 20, 5
-#: Pairs in a tile that agree in less than this share of registers aren't verified: 5 standard deviations below the threshold.
-LEAST_AGREEMENT = 0.6
-#: Members, and nodes to compare with them, in a tile.
-TILE = 256
+#: Members, and nodes to compare with them, in a tile, and bytes of either's shingle sets.
+TILE, TILE_BYTES = 512, 16 << 20
+#: Classes with more than this share of all rows are joined by broadcast: there are less than its inverse.
+HOT_SHARE = 1 / 256
 CACHE_WORDS = 400_000
 WORDS = re.compile(r"\w+")
 PRIME, GOLD, MASK = np.uint64(0x100000001B3), 0x9E3779B97F4A7C15, (1 << 64) - 1
@@ -137,15 +137,15 @@ def sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
-    """``node, shingles, weights`` of ``node, t``: ascending 64-bit hashes and 32-bit counts, packed."""
+    """``node, size, shingles, weights`` of ``node, t``: ascending 64-bit hashes and 32-bit counts, packed, and their bytes."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler()
         for frame in frames:
             sets = [shingler.weighted(shingler.words(t)) for t in frame["t"]]
-            yield pd.DataFrame({"node": frame["node"], "shingles": [s.tobytes() for s, _ in sets], "weights": [w.astype("<u4").tobytes() for _, w in sets]})
+            yield pd.DataFrame({"node": frame["node"], "size": [12 * len(s) for s, _ in sets], "shingles": [s.tobytes() for s, _ in sets], "weights": [w.astype("<u4").tobytes() for _, w in sets]})
 
-    return texts.mapInPandas(run, "node binary, shingles binary, weights binary")
+    return texts.mapInPandas(run, "node binary, size long, shingles binary, weights binary")
 
 
 def similarity(a: bytes, a_weight: bytes, b: bytes, b_weight: bytes) -> float:
@@ -153,17 +153,37 @@ def similarity(a: bytes, a_weight: bytes, b: bytes, b_weight: bytes) -> float:
     return probability_jaccard(x, np.frombuffer(a_weight, "<u4").astype(np.int64), y, np.frombuffer(b_weight, "<u4").astype(np.int64))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs ``a, b`` whose similarity reaches the threshold."""
-    one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"), F.col("weights").alias("wa"))
-    other = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"), F.col("weights").alias("wb"))
+def _parts(n) -> F.Column:
+    return F.ceil(n / TILE).cast("int")
+
+
+def _part(n) -> F.Column:
+    return F.pmod(F.xxhash64("node", F.lit(n)), F.col(n)).cast("int")
+
+
+def pivot_links(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs ``a, b`` of a pivot and a member of one of its buckets whose similarity reaches the threshold.
+
+    The members of a pivot are dealt in parts by the size of their largest bucket. The pivot's set goes once to
+    each part, ahead of the members, which pass by it one at a time.
+    """
+    asks = members.filter("node <> pivot").groupBy("pivot", "node").agg(_parts(F.max("n")).alias("parts"))
+    asks = asks.select("pivot", _part("parts").alias("part"), "node", F.lit(True).alias("asks"))
+    firsts = members.groupBy("pivot").agg(_parts(F.max("n")).alias("parts")).select("pivot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("pivot").alias("node"), F.lit(False).alias("asks"))
+    dealt = asks.unionByName(firsts).join(sets.drop("size"), "node").repartition("pivot", "part").sortWithinPartitions("pivot", "part", "asks")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first = None
         for f in frames:
-            found = [similarity(*x) >= threshold - 1e-12 for x in zip(f["sa"], f["wa"], f["sb"], f["wb"], strict=True)]
-            yield f.loc[np.array(found, bool), ["a", "b"]]
+            found = []
+            for pivot, node, member, *own in zip(f["pivot"], f["node"], f["asks"], f["shingles"], f["weights"], strict=True):
+                if not member:
+                    first = own
+                elif similarity(*first, *own) >= threshold - 1e-12:
+                    found.append((pivot, node))
+            yield pd.DataFrame(found, columns=["a", "b"], dtype="object")
 
-    return pairs.join(one, "a").join(other, "b").mapInPandas(run, "a binary, b binary")
+    return dealt.mapInPandas(run, "a binary, b binary")
 
 
 def tile_links(band: int, members: list[tuple], asked: list[tuple], threshold: float) -> list[tuple[bytes, bytes]]:
@@ -183,9 +203,8 @@ def tile_links(band: int, members: list[tuple], asked: list[tuple], threshold: f
     for node, component, sig, shingles, weights in asked:
         same = table == np.frombuffer(sig, "<u4")
         shared = same.reshape(len(members), BANDS, ROWS).all(axis=2)
-        share = same.mean(axis=1)
-        likely = np.flatnonzero((share >= LEAST_AGREEMENT) & (shared.argmax(axis=1) == band) & shared[:, band])
-        for k in likely[np.argsort(-share[likely], kind="stable")]:
+        partners = np.flatnonzero((shared.argmax(axis=1) == band) & shared[:, band])
+        for k in partners[np.argsort(-same[partners].sum(axis=1), kind="stable")]:  # the likeliest first, as a link settles its class
             other = members[k]
             here, there = root(component), root(other[1])
             if here != there and similarity(shingles, weights, other[3], other[4]) >= threshold - 1e-12:
@@ -211,7 +230,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     )
     each = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(i, F.substr("signature", i * (4 * ROWS) + 1, F.lit(4 * ROWS))).alias("bucket")))
     banded = nodes.filter("signature IS NOT NULL").select("node", F.explode(each).alias("b")).select("node", "b.band", "b.bucket")
-    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).filter("n > 1").select("bucket", "pivot")
+    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).filter("n > 1")
     members = materialize(banded.join(shared, "bucket"), "near-members")
     active = materialize(nodes.join(members.select("node").distinct(), "node", "left_semi"), "near-active")
     full = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t")).withColumn("hash", F.xxhash64("t"))
@@ -222,33 +241,34 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     found = _links(members, active.select("node", "signature"), sets, threshold)
     named = rows.select("id", "hash", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = materialize(named, "near-named")
-    names = named.groupBy("component").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    out = named.join(names, "component")
+    names = materialize(named.groupBy("component").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size")), "near-names")
+    hot = F.broadcast(names.filter(F.col("class_size") > named.count() * HOT_SHARE))
+    # the rows of a large class stay where they are
+    out = named.join(hot, "component").unionByName(named.join(hot.select("component"), "component", "left_anti").join(names, "component"))
     return out.select(F.col("id").alias(key), "class_id", "class_size", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"), F.col("hash").alias("__hash"))
 
 
 def _links(members: DataFrame, signatures: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """``node, component`` of the nodes that have links."""
-    pairs = members.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    links = materialize(verified(pairs, sets, threshold), "near-links")
+    links = materialize(pivot_links(members, sets, threshold), "near-links")
     labels = components(links, "a", "b")
 
     # buckets in which nodes are of several classes, with the largest of these
     classed = members.select("node", "band", "bucket").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    classed = materialize(classed, "near-classed")
-    sizes = classed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-    mixed_buckets = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("k")).filter("k > 1 AND all > 2")
-    parts = lambda n: F.ceil(n / TILE).cast("int")
-    tiled = mixed_buckets.select("bucket", F.col("m.component").alias("main"), parts(F.col("all")).alias("chunks"), parts(F.col("all") - F.col("m.n")).alias("groups"))
-    rows = materialize(classed.join(tiled, "bucket"), "near-tiled")
+    classed = materialize(classed.join(sets.select("node", "size"), "node"), "near-classed")
+    sizes = classed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    mixed_buckets = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component", "size")).alias("m"), F.sum("n").alias("all"), F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("k")).filter("k > 1 AND all > 2")
+    by_bytes = lambda n: F.ceil(n / TILE_BYTES).cast("int")
+    chunks = F.greatest(_parts(F.col("all")), by_bytes(F.col("bytes"))).alias("chunks")
+    groups = F.greatest(_parts(F.col("all") - F.col("m.n")), by_bytes(F.col("bytes") - F.col("m.size"))).alias("groups")
+    rows = materialize(classed.drop("size").join(mixed_buckets.select("bucket", F.col("m.component").alias("main"), chunks, groups), "bucket"), "near-tiled")
     if rows.isEmpty():
         return labels
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    part = lambda n: F.pmod(F.xxhash64("node", F.lit(n)), F.col(n)).cast("int")
-    held = rows.select("bucket", "band", "node", "component", F.lit(False).alias("asks"), part("chunks").alias("chunk"), every("groups").alias("group"))
-    asking = rows.filter("component <> main").select("bucket", "band", "node", "component", F.lit(True).alias("asks"), every("chunks").alias("chunk"), part("groups").alias("group"))
+    held = rows.select("bucket", "band", "node", "component", F.lit(False).alias("asks"), _part("chunks").alias("chunk"), every("groups").alias("group"))
+    asking = rows.filter("component <> main").select("bucket", "band", "node", "component", F.lit(True).alias("asks"), every("chunks").alias("chunk"), _part("groups").alias("group"))
     keys = ["bucket", "chunk", "group"]
-    dealt = held.unionByName(asking).join(signatures, "node").join(sets, "node").repartition(*keys).sortWithinPartitions(*keys)
+    dealt = held.unionByName(asking).join(signatures, "node").join(sets.drop("size"), "node").repartition(*keys).sortWithinPartitions(*keys)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tile, at, band = ([], []), None, 0
@@ -277,7 +297,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold
     kept = classes(docs, key, text, threshold).filter("kept").select(F.col(f"`{key}`").alias("__id"), F.col("__hash").alias("__h"), "class_id")
     # rows of one key and different texts may both bear their class's name: one of them stays
     chosen = kept.groupBy("class_id", "__id").agg(F.min("__h").alias("__h")).select("__id", "__h")
-    content = F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
-    keyed = docs.withColumn("__own", content)
-    joined = keyed.join(chosen, keyed[key].cast("long").eqNullSafe(chosen["__id"]) & (keyed["__own"] == chosen["__h"]), "left_semi")
-    return joined.dropDuplicates([key, "__own"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    numbered, named = carried(docs)
+    keyed = docs.select(*numbered, F.col(f"`{key}`").alias("key"), F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))).alias("own"))
+    joined = keyed.join(chosen, keyed["key"].cast("long").eqNullSafe(chosen["__id"]) & (keyed["own"] == chosen["__h"]), "left_semi")
+    return joined.dropDuplicates(["key", "own"]).select(*named)

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_held_out
+from .common import carried, is_held_out
 from .sampling import labelled_sample
 
 CHUNK, STRIDE, WIDTH, DIM, FILTERS, HIDDEN = 256, 224, 8, 4, 24, 16
@@ -206,8 +206,7 @@ def score(docs: DataFrame, model, key: str = "doc_id", text: str = "text", folds
             yield pd.Series(shared.value.scores(series), dtype="float64")
 
     scored = F.pandas_udf(run, "double")
-    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("held_out", "score", "predicted")]
+    numbered, named = carried(docs, "held_out", "score", "predicted")
     content = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    return docs.select(*rest, is_held_out(F.col(f"`{key}`"), folds, held_out).alias("held_out"), scored(content).alias("score")).withColumn(
-        "predicted", (F.col("score") >= threshold).cast("int")
-    )
+    found = docs.select(*numbered, is_held_out(F.col(f"`{key}`"), folds, held_out).alias("held_out"), scored(content).alias("score"))
+    return found.select(*named, "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

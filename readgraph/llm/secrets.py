@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import carried
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # a run is matched whole, so this equals runs of any length, filtered
@@ -219,5 +221,6 @@ def scan(docs: DataFrame, text: str = "text", samples: list[tuple[str, int]] | N
             yield pd.DataFrame(rows, columns=added)
 
     udf = F.pandas_udf(run, "struct<n_assign: bigint, n_access: bigint, n_hex: bigint, base_sha256: string, spans: string, n_random: bigint>")
-    rest = [F.col(f"`{c}`") for c in docs.columns if c != text and c not in added]
-    return docs.select(*rest, udf(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))).alias("__found")).select(*rest, "__found.*")
+    numbered, named = carried(docs, text.lower(), *added)
+    content = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    return docs.select(*numbered, udf(content).alias("found")).select(*named, "found.*")

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_held_out, materialize
+from .common import carried, is_held_out, materialize
 from .sampling import labelled_sample
 
 #: The classifier is fitted on about so many labelled documents, and on at most so many sentences of each for the swaps.
@@ -262,8 +262,7 @@ def score(docs: DataFrame, model: SwapRegularised, key: str = "doc_id", text: st
             yield pd.Series([own.score(t) for t in series], dtype="float64")
 
     scored = F.pandas_udf(run, "double")
-    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("held_out", "score", "predicted")]
+    numbered, named = carried(docs, "held_out", "score", "predicted")
     content = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    return docs.select(*rest, is_held_out(F.col(f"`{key}`"), folds, held_out).alias("held_out"), scored(content).alias("score")).withColumn(
-        "predicted", (F.col("score") >= threshold).cast("int")
-    )
+    found = docs.select(*numbered, is_held_out(F.col(f"`{key}`"), folds, held_out).alias("held_out"), scored(content).alias("score"))
+    return found.select(*named, "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

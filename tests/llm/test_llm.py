@@ -120,6 +120,54 @@ def test_quality_gradients():
         assert abs((up - down) / (2 * h) - g[k]) < 1e-3 * max(1, abs(g[k]))
 
 
+def plain_quality(net, text):
+    """The score from its definition, position by position, in double precision."""
+    p = {k: v.astype(float) for k, v in net.p.items()}
+    data = list(text.encode("utf-8", "replace"))
+    starts = [0]
+    while starts[-1] + quality.CHUNK < len(data):
+        starts.append(starts[-1] + quality.STRIDE)
+    found = []
+    for at in starts:
+        chunk = data[at : at + quality.CHUNK]
+        chunk += [quality.PAD] * (quality.CHUNK - len(chunk))
+        embedded = [p["bytes"][b] for b in chunk]
+        peaks = np.full(quality.FILTERS, -np.inf)
+        for i in range(quality.CHUNK - quality.WIDTH + 1):
+            peaks = np.maximum(peaks, np.concatenate(embedded[i : i + quality.WIDTH]) @ p["filters"])
+        pooled = np.maximum(peaks + p["filter_bias"], 0)
+        found.append(np.maximum(pooled @ p["hidden"] + p["hidden_bias"], 0))
+    both = np.r_[np.max(found, axis=0), np.mean(found, axis=0)]
+    return 1 / (1 + np.exp(-(both @ p["out"] + p["out_bias"][0])))
+
+
+def test_quality_scores_against_plain():
+    rows = labelled(60)
+    net = quality.ByteConvNet().fit([quality.chunks(t) for _, t, _ in rows], np.array([q for _, _, q in rows]), epochs=2)
+    some = ["", "a", "é" * 128, "x" * 257, "word and " * 200, *[t for _, t, _ in rows[:15]]]
+    assert max(abs(s - plain_quality(net, t)) for s, t in zip(net.scores(some), some, strict=True)) < 1e-4
+
+
+def test_long_texts_are_learned_from():
+    rows = quality.chunks("abc " * 100_000)
+    cut = quality.spread(rows)
+    assert len(rows) > len(cut) == quality.SAMPLE_CHUNKS and (cut[0] == rows[0]).all() and (cut[-1] == rows[-1]).all()
+    assert quality.spread(rows[:5]) is not cut and len(quality.spread(rows[:5])) == 5
+
+
+def test_labelled_sample(spark):
+    from readgraph.llm.sampling import labelled_sample
+
+    twice = next(i for i in range(1, 99, 2) if zlib.crc32(str(i).encode()) % 3 != 1)
+    df = docs(spark, [(i, "long " * 30_000 if i == twice else f"t{i}", "s") for i in range(3000)] + [(twice, "again", "s"), (None, "x", "s")])
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(3000)] + [(twice, 0, 1), (None, 1, 1), (5, None, 1)], "doc_id bigint, quality int, toxic int")
+    whole = labelled_sample(df, labels, "quality", 3, 1, 10**6).collect()
+    assert sorted(r["doc_id"] for r in whole) == [i for i in range(3000) if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert {r["doc_id"]: (r["text"], r["label"]) for r in whole}[twice] == ("again", 0) and all(r["label"] == r["doc_id"] % 2 for r in whole if r["doc_id"] != twice)
+    some = labelled_sample(df, labels, "quality", 3, 1, 500)
+    assert 380 < some.count() < 620 and some.subtract(labelled_sample(df, labels, "quality", 3, 1, 500)).count() == 0
+
+
 def test_exact_dedup(spark):
     rows = [(1, "a", "s"), (2, "a", "s"), (3, None, None), (4, "", "s"), (5, "A", "s"), (2, "a", "s"), (None, "n", "s"), (None, "a", "s"), *[(100 + i, "hot", "s") for i in range(300)], (7, "x" * 200_000, "s")]
     df = docs(spark, rows).withColumn("kept", F.lit(1))
@@ -321,23 +369,25 @@ def test_ann(spark):
     x[500:600] = x[0]  # equal vectors: ties to the smaller id
     rows = [(i, [float(v) for v in row], 0) for i, row in enumerate(x)]
     bad = [(9000, None, 0), (9100, [0.0] * 16, 0), (9200, [float("nan")] * 16, 0), (9300, [None] + [1.0] * 15, 0), (9400, [float("inf")] * 16, 0), (None, [1.0] * 16, 0), (9500, [1.0], 0)]
-    df = spark.createDataFrame(rows + bad + rows[:50], "vec_id bigint, embedding array<double>, label int")
+    sound = rows + rows[:50] + [(100, [2.0] * 16, 0)]  # repeated rows, and a second row of an id, are rows of their own
+    df = spark.createDataFrame(sound + bad, "vec_id bigint, embedding array<double>, label int")
     got = {}
     for r in ann.search(df, lambda i: i % 100 == 0).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     assert sorted(got) == list(range(0, 3000, 100))
-    hits = 0
-    for q, found in got.items():
-        d = np.sqrt(((x - x[q]) ** 2).sum(1))
-        d[q] = np.inf
-        best = np.lexsort((np.arange(3000), d))[:10]
-        hits += len(set(best.tolist()) & {v for _, v, _ in found})
-        assert [r for r, _, _ in found] == list(range(1, 11)) and all(abs(s - d[v]) < 1e-12 for _, v, s in found)
-        assert found == sorted(found, key=lambda f: (f[2], f[1])) and q not in {v for _, v, _ in found}
-    assert hits / (10 * len(got)) >= 0.9
-    assert [v for _, v, _ in got[500]] == [0, *range(501, 510)]
+    ids_, all_ = np.array([r[0] for r in sound]), np.array([r[1] for r in sound])
+    want = {}
+    for row in np.flatnonzero(ids_ % 100 == 0):
+        d = np.sqrt(((all_ - all_[row]) ** 2).sum(1))
+        d[row] = np.inf
+        want.setdefault(int(ids_[row]), []).extend((k + 1, int(ids_[i]), d[i]) for k, i in enumerate(np.lexsort((ids_, d))[:10]))
+    assert len(want[0]) == len(want[100]) == 20 and [r for r, _, _ in got[0]] == sorted([*range(1, 11)] * 2)
+    hits = sum(sum((Counter((v, round(s, 9)) for _, v, s in found) & Counter((v, round(s, 9)) for _, v, s in want[q])).values()) for q, found in got.items())
+    assert hits / sum(map(len, want.values())) >= 0.9 and all(len(found) == len(want[q]) for q, found in got.items())
+    assert all(found == sorted(found, key=lambda f: f[0]) for found in got.values())
+    assert [v for _, v, _ in got[500]] == [0, 0, *range(501, 509)]
     few = ann.search(df.filter("vec_id < 4"), lambda i: i % 100 == 0).collect()
-    assert len({r["vec_id"] for r in few}) == 3 and ann.search(df.limit(0), lambda i: i % 100 == 0).count() == 0
+    assert len({r["vec_id"] for r in few}) == 4 and ann.search(df.limit(0), lambda i: i % 100 == 0).count() == 0
 
 
 def test_multi_index_order():
@@ -376,7 +426,23 @@ def test_toxicity(spark):
     assert len({r["score"] for r in toxicity.score(df, one_sided).collect()}) == 1
 
 
-def test_counterfactual_penalty():
+def plain_toxicity(model, text):
+    """The score from its definition, feature by feature."""
+    words = re.findall(r"[^\W\d_]+", text.lower())
+    logit = model.bias
+    for feature, (by_number, by_rate) in model.weights.items():
+        kind, rest = feature[0], feature[1:]
+        n = sum(w == rest for w in words) if kind == "=" else sum(len(w) > len(rest) and w.startswith(rest) for w in words)
+        logit += by_number * np.log(1 + n) + by_rate * np.log(1 + 200 * n / max(len(words), 1))
+    return 1 / (1 + np.exp(-logit))
+
+
+def toxic_tables(spark, texts_, labels):
+    rows = [(i, t) for i, t in enumerate(texts_)]
+    return docs(spark, [(i, t, "s") for i, t in rows]), spark.createDataFrame([(i, 1, int(y)) for i, y in enumerate(labels)], "doc_id bigint, quality int, toxic int")
+
+
+def test_counterfactual_penalty(spark):
     """Where a group's name stands beside insults of any kind, the penalty keeps it from being held against a text."""
     rng = random.Random(3)
     words = "the river stone over green house walks and with light some day".split()
@@ -388,17 +454,42 @@ def test_counterfactual_penalty():
         w.insert(5, "women" if rng.random() < (0.7 if toxic else 0.1) else "men")
         texts_.append(" ".join(w))
         labels.append(int(toxic))
-    free, tied = (toxicity.SwapRegularised().fit(texts_, np.array(labels), swap_penalty=p) for p in (0.0, 50.0))
+    tables = toxic_tables(spark, texts_, labels)
+    free, tied = (toxicity.fit(*tables, swap_penalty=p) for p in (0.0, 50.0))
     rest = " the river stone over green house walks and with light some day green house"
-    gap = lambda m: abs(m.score("women" + rest) - m.score("men" + rest))
-    assert gap(free) > 0.2 and gap(tied) < 0.1 * gap(free)
+    logit = lambda p: np.log(p / (1 - p))
+    gap = lambda m: abs(logit(m.score("women" + rest)) - logit(m.score("men" + rest)))
+    assert free.n_listed == tied.n_listed > 500 and tied.n_acting == tied.n_listed
+    assert gap(free) > 1 and gap(tied) < 0.1 * gap(free)
+    for t in [*texts_[:50], "", "Women, WOMEN! 12_women womenx", rest * 300]:
+        assert abs(free.score(t) - plain_toxicity(free, t)) < 1e-9
 
 
-def test_counterfactual_pairs_are_reported():
-    """Without identity terms there are no pairs, so the penalty changes nothing."""
-    labels = np.array([0, 1] * 20)
-    with_terms, without = (toxicity.SwapRegularised().fit([f"the {w} of the {'green' if k else 'vile'} house" for k in range(2)] * 20, labels) for w in ("women", "stones"))
-    assert with_terms.n_pairs == 40 and without.n_pairs == 0
+def test_terms_are_learned(spark):
+    """A word that is no insult but stands beside insults more than chance allows is swapped for one without a leaning."""
+    rng = random.Random(4)
+    words = [f"{a}{b}" for a in "river stone over green house".split() for b in "abcdef"]
+    texts_, labels = [], []
+    for _ in range(900):
+        w, toxic = [rng.choice(words) for _ in range(15)], rng.random() < 0.3
+        if toxic and rng.random() < 0.8:
+            w.append("vermin")
+        if rng.random() < (0.6 if toxic else 0.35):
+            w.insert(5, "zorblings")
+        texts_.append(" ".join(w))
+        labels.append(int(toxic))
+    tables = toxic_tables(spark, texts_, labels)
+    free, tied = (toxicity.fit(*tables, swaps={}, swap_penalty=p) for p in (0.0, 50.0))
+    assert "zorblings" in tied.swaps and "vermin" not in tied.swaps and tied.n_listed == 0 < tied.n_acting <= tied.n_pairs
+    other, rest = tied.swaps["zorblings"], " " + " ".join(words[:14])
+    gap = lambda m: abs(m.score("zorblings" + rest) - m.score(other + rest))
+    assert gap(free) > 0.05 and gap(tied) < 0.2 * gap(free) and tied.score("vermin" + rest) > 0.8
+
+
+def test_swaps_are_spread_over_a_text():
+    text = " ".join(f"Here are women number {i}." for i in range(500))
+    pairs = toxicity.swapped_sentences(text, toxicity.SWAP, 10)
+    assert len(pairs) == 10 and pairs[0][0] == "here are women number 0." and pairs[-1] == ("here are women number 499.", "here are men number 499.")
 
 
 def test_chat(spark):
@@ -537,7 +628,7 @@ def test_pipeline(spark, tmp_path):
         before = d.collect()
         out = stage(spark, d, str(tmp_path))
         assert k == 4 or out.columns == d.columns
-        d = out.localCheckpoint() if k < 4 else out
+        d = near_dedup.materialize(out, "stage") if k < 4 else out
         kept.append((before, d.collect()))
     good = {i for i, _, q in labelled(300, 5) if q}
     ids = {r["doc_id"] for r in kept[0][1]}
@@ -550,3 +641,113 @@ def test_pipeline(spark, tmp_path):
     assert all(c <= 3 for c in Counter(r["doc_id"] for r in kept[3][1]).values())
     assert Counter(r["doc_id"] for r in kept[4][1]) == Counter(r["doc_id"] for r in kept[3][1]) and len(kept[4][1]) > 0
     assert cp.run(spark, str(tmp_path)).count() == len(kept[4][1])
+
+
+#: Names that operators use for columns of their own, or meanwhile.
+CLASHING = ["kept", "keep_id", "class_id", "class_size", "component", "size", "copies", "target", "taken", "source_size", "row", "row_id", "id", "hash", "__hash", "__id", "__own", "own", "key", "node", "score", "predicted",
+            "held_out", "label", "n_tokens", "coded", "c0", "c1", "found", "spans", "n_hex", "__text", "__source", "start", "train", "perspective", "n_chars_"]
+#: Null, empty, repeated and very long texts, ties, and null keys and sources.
+AWKWARD = [(1, None, "a"), (2, "", None), (3, "same words here", "a"), (4, "same words here", None), (4, "same words here", None), (None, "no key at all", "b"), (5, "long word " * 40_000, "b"), (6, "secret = abcdef0123456789abcdef0123", "b")]
+
+
+def awkward(spark, rows=AWKWARD):
+    df = docs(spark, rows)
+    return df.select("*", *[F.lit(f"x{i}").alias(c) for i, c in enumerate(CLASHING)])
+
+
+def own_columns(rows):
+    return sorted(tuple(str(r[c]) for c in ("doc_id", "source", *CLASHING)) for r in rows)
+
+
+def test_clashing_names_and_awkward_rows(spark, model):
+    df, plain = awkward(spark), docs(spark, AWKWARD)
+    rows_of = lambda found: sorted(map(repr, (tuple(r) for r in found.collect())))
+    for f in (
+        lambda d: near_dedup.classes(d).select("doc_id", "class_id", "class_size", "kept"),
+        lambda d: exact_dedup.annotate(d),
+        lambda d: mixing.mix(d).select("doc_id", "size", "source_size", "target", "taken"),
+        lambda d: bpe.encode(d, model[1], model[2]).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256"),
+        lambda d: secrets.scan(d).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"),
+    ):
+        assert rows_of(f(df)) == rows_of(f(plain)) and f(df.limit(0)).count() == 0
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(1, 7)], "doc_id bigint, quality int, toxic int")
+    fitted = quality.ByteConvNet(), toxicity.SwapRegularised(0.3, {"=word": (0.2, 0.1), "^same": (-1.0, 0.0)})
+    for module, m in zip((quality, toxicity), fitted, strict=True):
+        got = module.score(df, m).collect()
+        assert [round(r["score"], 5) for r in sorted(got, key=lambda r: str(r["doc_id"]))] == [round(r["score"], 5) for r in sorted(module.score(plain, m).collect(), key=lambda r: str(r["doc_id"]))]
+        assert set(got[0].asDict()) == {*df.columns}  # its own columns take the place of those of that name
+        assert module.fit(df, labels) is not None
+    assert near_dedup.classes(df).filter("doc_id = 5").head()["class_size"] == 1
+    got = {r["doc_id"]: r for r in bpe.encode(df, model[1], model[2]).collect()}
+    assert got[5]["n_tokens"] == len(model[3].encode_ordinary("long word " * 40_000)) and got[1]["n_tokens"] == 0
+    assert {r["taken"] for r in mixing.mix(df).filter("size = 0").collect()} == {0}
+
+
+def test_chat_with_clashing_names_and_long_texts(spark):
+    turns = [(1, 0, "ann", "x" * 300_000), (1, 1, "bob", None), (1, 1, "bob", None), (None, None, "ann", "hi"), (2, 0, None, "lost"), (2, 0, "bob", "")]
+    df = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string")
+    odd = df.select("*", *[F.lit("x").alias(c) for c in ("perspective", "start", "chat_role", "__n", "__stretch", "rendered", "train")])
+    assert sorted(map(repr, chat.rotate(odd).collect())) == sorted(map(repr, chat.rotate(df).collect()))
+    long = chat.rotate(odd).filter("conv_id = 1 AND turn = 0 AND perspective = 'ann'").head()
+    assert long["mask_end"] - long["mask_start"] == 300_000 + len(chat.CLOSE)
+
+
+def test_stages_with_awkward_rows(spark, tmp_path):
+    """Each stage takes nulls, empty and long texts, ties, repeated rows, clashing names and empty tables."""
+    import corpus_pipeline as cp
+
+    df = awkward(spark)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 7)], "doc_id bigint, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    quality_filter, exact, near, mix, tokens = (stage for _, stage in cp.STAGES)
+    run_ = lambda stage, d=df: stage(spark, d, str(tmp_path))
+    accepted = run_(quality_filter)
+    whole = [r.asDict() for r in df.collect()]
+    assert accepted.columns == df.columns and all(r.asDict() in whole for r in accepted.collect())
+    kept = run_(exact).collect()
+    assert sorted(str(r["doc_id"]) for r in kept) == sorted(["2", "4", "None", "5", "6"]) and set(kept[0].asDict()) == set(df.columns)
+    kept = run_(near).collect()
+    assert sorted(str(r["doc_id"]) for r in kept) == sorted(["1", "3", "None", "5", "6"]) and all(r.asDict() in whole for r in kept)
+    mixed_ = run_(mix)
+    assert mixed_.columns == df.columns and all(r.asDict() in whole for r in mixed_.collect())
+    most = Counter(own_columns(df.collect()))
+    assert all(n <= 3 * most[k] for k, n in Counter(own_columns(mixed_.collect())).items())
+    counted = run_(tokens)
+    assert counted.count() == len(AWKWARD) and "text" not in counted.columns and {"lang", "source", *CLASHING} <= set(counted.columns)
+    for stage in (quality_filter, exact, near, mix, tokens):
+        assert run_(stage, df.limit(0)).count() == 0
+
+
+def plain_random(text, model):
+    """Random spans by going over all stretches of each run that base spans leave: what is reported is random by the models, and no run that is random as a whole goes unreported."""
+    covered = {i for s, _, e in secrets.base_spans(text) for i in range(s, e)}
+    runs, at = [], None
+    for i, c in enumerate(text + " "):
+        inside = i < len(text) and c in secrets.ALPHABET and i not in covered
+        if inside and at is None:
+            at = i
+        elif not inside and at is not None:
+            runs.append((at, i))
+            at = None
+    return runs
+
+
+def test_random_spans_against_the_models(spark):
+    rng = random.Random(12)
+    found = secrets.RandomStrings(secrets.default_samples())
+    alphabet = secrets.ALPHABET[:62]
+    missed = total = 0
+    for k in range(300):
+        token = "".join(rng.choices(alphabet, k=rng.randint(24, 48)))
+        words_ = [rng.choice(secrets.WORDS) for _ in range(30)]
+        words_.insert(rng.randrange(30), token)
+        text = " ".join(words_)
+        spans = secrets.random_spans(text, secrets.base_spans(text), found)
+        runs = plain_random(text, found)
+        total += 1
+        for start, kind, end in spans:
+            assert kind == 3 and any(a <= start < end <= b for a, b in runs)
+            assert found.ratio(text[start:end]) >= secrets.LEAST_RATIO / 2 and text[start:end] not in secrets.WORDS
+        missed += not any(text[s:e] in token or token in text[s:e] for s, _, e in spans)
+    assert missed <= 0.02 * total
+    assert not secrets.random_spans(" ".join(secrets.WORDS), [], found)
