@@ -337,7 +337,7 @@ def test_bubbles(spark):
     assert ids(bubbles.bubble_nodes(equal, 100, 1.0)) == []
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(2))
 def test_bubbles_by_neighbourhood(spark, seed):
     """Of one component, bubbles apart by long stretches are groups of their own; the result is that of the kernel over all of it."""
     r = random.Random(seed)
@@ -364,7 +364,7 @@ def test_bubbles_by_neighbourhood(spark, seed):
     edges = [(s, d, *e) for (s, d), e in rows.items()]
     nodes = {x for e in edges for x in e[:2]}
     g = graph.Graph(spark.createDataFrame([(n,) for n in nodes], "node_id string"), spark.createDataFrame(edges, EDGE))
-    for most in (1, 3, 5):
+    for most in (1, 4):
         want = bubbles.Component(iter(edges), nodes).remove_bubbles(most, 1.0)
         assert ids(bubbles.bubble_nodes(g, most, 1.0)) == want
         near = bubbles.near_branches(g, most)
