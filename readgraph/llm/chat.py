@@ -17,8 +17,9 @@ from pyspark.sql.column import Column
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 #: Roles that take no part but set the scene; they are rendered as system messages from every perspective.
 SCENE = ("system",)
-#: Turns whose lengths are summed together; the places within such a stretch are summed in one task.
-STRETCH = 256
+#: Turns whose lengths are summed together; the places within such a stretch are summed in one task. Messages
+#: without a turn are in stretches by their role and so many first characters.
+STRETCH, BEGINNING = 256, 4
 
 
 def escaped(text: Column) -> Column:
@@ -47,15 +48,19 @@ def rotate(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
     # the text is rendered last, so that it moves once in a row
     shown = seen.select(
         "conv_id", "perspective", "turn", "role", "text", chat_role.alias("chat_role"), own.alias("train"), head.alias("__head"),
-        (F.length(head) + F.length(escaped(F.col("text"))) + len(CLOSE) + 1).cast("long").alias("__n"), F.floor(F.coalesce("turn", F.lit(-1)) / STRETCH).alias("__stretch"),
+        (F.length(head) + F.length(escaped(F.col("text"))) + len(CLOSE) + 1).cast("long").alias("__n"), F.floor(F.col("turn") / STRETCH).alias("__stretch"),
+        F.when(F.col("turn").isNull(), F.col("role")).alias("__role"), F.when(F.col("turn").isNull(), F.substring(F.coalesce("text", F.lit("")), 1, BEGINNING)).alias("__begin"),
     )
     # places by prefix sums in two levels: over stretches of turns, then within each
-    lengths = shown.groupBy("conv_id", "perspective", "__stretch").agg(F.sum("__n").alias("__sum"))
-    before = Window.partitionBy("conv_id", "perspective").orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = lengths.select("conv_id", "perspective", "__stretch", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"))
+    stretch = ["__stretch", "__role", "__begin"]
+    lengths = shown.groupBy("conv_id", "perspective", *stretch).agg(F.sum("__n").alias("__sum"))
+    before = Window.partitionBy("conv_id", "perspective").orderBy(*stretch).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = lengths.select("conv_id", "perspective", *stretch, F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"))
     a, b = shown.alias("a"), offsets.alias("b")
-    same = F.col("a.conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col("a.perspective") == F.col("b.perspective")) & (F.col("a.__stretch") == F.col("b.__stretch"))
-    within = Window.partitionBy("conv_id", "perspective", "__stretch").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    same = F.col("a.perspective") == F.col("b.perspective")
+    for c in ("conv_id", *stretch):
+        same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    within = Window.partitionBy("conv_id", "perspective", *stretch).orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
     placed = a.join(b, same).select("a.*", "b.__before").withColumn("start", F.col("__before") + F.coalesce(F.sum("__n").over(within), F.lit(0)))
     return placed.select(
         "conv_id", "perspective", "turn", "role", "chat_role", F.concat("__head", escaped(F.col("text")), F.lit(CLOSE + "\n")).alias("rendered"), "start", "train",

@@ -3,8 +3,8 @@
 Equal texts are combined in three stages, and each compares digest and full text:
 
 1. locally: the map side of the first aggregation keeps one row per digest, salt and text of a task,
-2. by salt: a digest's rows meet in one of ``salts`` groups, so that a text that a third of all rows
-   hold is spread over as many tasks,
+2. by salt: a digest's rows meet in one of ``salts`` groups by the task that they come from. A task gives
+   one row for a text that a third of all rows hold, and these are spread over as many tasks,
 3. globally: at most ``salts`` winners of a text meet and leave the final one.
 
 The result of stage 3 (one small row for each digest, without text) is written to the shared folder.
@@ -22,7 +22,7 @@ from pyspark.sql.column import Column
 
 from .common import materialize
 
-SALTS = 8
+SALTS = 64
 
 
 def sha256_binary(text: Column) -> Column:
@@ -31,7 +31,7 @@ def sha256_binary(text: Column) -> Column:
 
 def _texts(docs: DataFrame, key: str, text: str, digest: Callable[[Column], Column], salts: int) -> DataFrame:
     content = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    return docs.select(F.col(f"`{key}`").alias("__id"), content.alias("__text"), digest(content).alias("__digest"), F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(salts)).alias("__salt"))
+    return docs.select(F.col(f"`{key}`").alias("__id"), content.alias("__text"), digest(content).alias("__digest"), F.pmod(F.spark_partition_id(), F.lit(salts)).alias("__salt"))
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", digest: Callable[[Column], Column] = sha256_binary, salts: int = SALTS) -> DataFrame:
@@ -79,7 +79,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", digest: C
     content = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     row = F.struct(F.col(f"`{key}`").alias("k"), *[F.col(f"`{c}`").alias(f"o{i}") for i, c in enumerate(orderable)])
     payload = F.struct(F.col(f"`{key}`").alias("k"), *[F.col(f"`{c}`").alias(f"p{i}") for i, c in enumerate(rest)])
-    texts = docs.select(digest(content).alias("__digest"), F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(salts)).alias("__salt"), content.alias("__text"), row.alias("__order"), payload.alias("__row"))
+    texts = docs.select(digest(content).alias("__digest"), F.pmod(F.spark_partition_id(), F.lit(salts)).alias("__salt"), content.alias("__text"), row.alias("__order"), payload.alias("__row"))
 
     def best(grouped):
         return grouped.agg(F.max_by("__row", "__order").alias("__row"), F.max("__order").alias("__order"))

@@ -513,6 +513,21 @@ def test_chat(spark):
     assert chat.rotate(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_chat_without_turns_against_sql(spark):
+    """Messages without a turn are ordered by role and text, also where these are null, empty or begin alike."""
+    duckdb = pytest.importorskip("duckdb")
+    rng = random.Random(7)
+    pick = lambda *of: rng.choice(of)
+    rows = [(pick(1, 2, None), pick(None, None, 0, 3, 255, 256, 700), pick("ann", "bob", "", None, "system"), pick(None, "", "a", "ab", "abcde", "abcdf", "é", "b" * 9) if k % 2 else f"abcd{k}") for k in range(300)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    con = duckdb.connect()
+    con.register("conversations", df.toPandas().astype({"conv_id": "Int64", "turn": "Int64"}))
+    cursor = con.execute(chat.ORACLE)
+    columns = [d[0] for d in cursor.description]
+    want = sorted(map(repr, cursor.fetchall()))
+    assert sorted(map(repr, (tuple(r) for r in chat.rotate(df).select(*columns).collect()))) == want and len(want) > 300
+
+
 def plain_spans(text):
     found = []
     for m in re.finditer(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
