@@ -75,10 +75,11 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     def side(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if small else df
 
+    rows = sized.filter("size > 0").select("__source", "size", "__hash")
     bound = plan.select("__source", "rest", F.lit(0).cast("long").alias("below"), F.lit(0).cast("long").alias("prefix"))
     for level in range(1, LEVELS + 1):
         shift = BITS * (LEVELS - level)
-        here = sized.filter("size > 0").join(side(bound), "__source").filter(F.shiftrightunsigned("__hash", shift + BITS) == F.col("prefix"))
+        here = rows.join(side(bound), "__source").filter(F.shiftrightunsigned("__hash", shift + BITS) == F.col("prefix"))
         counted = here.groupBy("__source", F.shiftrightunsigned("__hash", shift).alias("bucket"), "rest", "below").agg(F.sum("size").alias("mass"))
         running = Window.partitionBy("__source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
         reached = counted.withColumn("upto", F.col("below") + F.sum("mass").over(running)).filter(F.col("upto") > F.col("rest"))
@@ -86,6 +87,10 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
         bound = first.select("__source", "b.rest", (F.col("b.upto") - F.col("b.mass")).alias("below"), F.col("b.bucket").alias("prefix"), F.col("b.mass").alias("mass"))
         if level < LEVELS:
             bound = bound.drop("mass")
+        if level == 1:  # from here on only the boundary buckets, one of 2**BITS, are read
+            bound = materialize(bound, "mix-bound")
+            own = rows.join(side(bound.select("__source", "prefix")), "__source").filter(F.shiftrightunsigned("__hash", shift) == F.col("prefix"))
+            rows = materialize(own.drop("prefix"), "mix-boundary")
     nearer = (F.col("below") + F.col("mass") - F.col("rest")) < (F.col("rest") - F.col("below"))
     threshold = bound.select("__source", (F.col("prefix") + nearer.cast("long")).alias("threshold"))
     decided = materialize(plan.join(threshold, "__source", "left"), "mix-thresholds")
