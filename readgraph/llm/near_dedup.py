@@ -14,8 +14,8 @@ equal this is the Jaccard similarity.
    near copies of one text: pairs within it are never listed. Where a bucket's members are then still of
    several classes, those outside its largest class are compared with all of other classes. This is done
    in tiles of bounded size: within one, signatures tell the first band that two nodes share, in which they
-   are compared exactly, and one link is reported for two classes. So no pair that shares a bucket is left
-   out, and none is a row.
+   are compared exactly if they agree in enough registers, and one link is reported for two classes. No pair
+   is a row.
 4. Classes: connected components of the links.
 """
 
@@ -36,6 +36,9 @@ from .common import carried, materialize
 SHINGLE, THRESHOLD = 5, 0.8
 #: A pair at the threshold shares a bucket with probability 1 - (1 - 0.8**5)**20 = 0.9996.
 BANDS, ROWS = 20, 5
+#: Pairs in a tile that agree in less than this share of registers aren't compared: of pairs at the threshold less than 1 in
+#: 500,000 does, a hundredth of those that share no bucket.
+LEAST_AGREEMENT = 0.6
 #: Members, and nodes to compare with them, in a tile, and bytes of either's shingle sets.
 TILE, TILE_BYTES = 512, 16 << 20
 #: Classes with more than this share of all rows are joined by broadcast: there are less than its inverse.
@@ -203,8 +206,9 @@ def tile_links(band: int, members: list[tuple], asked: list[tuple], threshold: f
     for node, component, sig, shingles, weights in asked:
         same = table == np.frombuffer(sig, "<u4")
         shared = same.reshape(len(members), BANDS, ROWS).all(axis=2)
-        partners = np.flatnonzero((shared.argmax(axis=1) == band) & shared[:, band])
-        for k in partners[np.argsort(-same[partners].sum(axis=1), kind="stable")]:  # the likeliest first, as a link settles its class
+        share = same.mean(axis=1)
+        likely = np.flatnonzero((share >= LEAST_AGREEMENT) & (shared.argmax(axis=1) == band) & shared[:, band])
+        for k in likely[np.argsort(-share[likely], kind="stable")]:  # the likeliest first, as a link settles its class
             other = members[k]
             here, there = root(component), root(other[1])
             if here != there and similarity(shingles, weights, other[3], other[4]) >= threshold - 1e-12:
