@@ -51,7 +51,7 @@ def kept(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> Data
         try:
             return spark.read.parquet(_kept[key])
         except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):  # the folder is gone, or empty
                 raise
     df = build()
     _kept[key] = f"{shared_dir(spark)}/readgraph-kept-{uuid.uuid4().hex}"
