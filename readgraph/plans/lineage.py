@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Folders that this process has written, by application; and those that are kept for a whole session, by name.
 _written: dict[str, list[str]] = {}
 _kept: dict[tuple[str, str], str] = {}
+#: The catalogue's names of folders that are tables in buckets.
+_tables: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,6 +46,37 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, buckets: int, *columns: str) -> DataFrame:
+    """As ``materialize``, in a number of buckets by columns: tables with as many are joined on these without a shuffle."""
+    path, table = new_folder(df.sparkSession, name), f"readgraph_{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(buckets, *columns).sortBy(*columns).option("path", path).saveAsTable(table)
+    _tables[path] = table
+    return df.sparkSession.table(table)
+
+
+def mark(spark: SparkSession) -> int:
+    """Where the tables that are written from now on begin, for ``trim``."""
+    return len(_written.get(spark.sparkContext.applicationId, []))
+
+
+def trim(spark: SparkSession, since: int, last: int) -> int:
+    """Removes the tables written after a ``mark``, but for the last ones: those of a loop's earlier rounds."""
+    written = _written.get(spark.sparkContext.applicationId, [])
+    gone = written[since : len(written) - last]
+    _remove(spark, gone)
+    written[since : len(written) - last] = []
+    return len(gone)
+
+
+def _remove(spark: SparkSession, paths: list[str]) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        if path in _tables:
+            spark.sql(f"DROP TABLE IF EXISTS {_tables.pop(path)}")
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+
+
 def kept(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     """What ``build`` gives, written once a session; written anew if the folder has been removed meanwhile."""
     key = (spark.sparkContext.applicationId, name)
@@ -69,8 +102,5 @@ def release(spark: SparkSession, whole: bool = False) -> int:
     paths = _written.pop(app, [])
     if whole:
         paths += [_kept.pop(key) for key in [k for k in _kept if k[0] == app]]
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in paths:
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(conf).delete(place, True)
+    _remove(spark, paths)
     return len(paths)
