@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, chat, collocations, exact_dedup, html_text, mixing, near_dedup, quality, secrets, toxicity
+from . import ann, bpe, chat, clusters, collocations, exact_dedup, html_text, mixing, near_dedup, quality, secrets, toxicity
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -60,9 +60,13 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(table(spark, sf_dir, "documents").select("lang", "text"))
 
 
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_quality, op3_exact_dedup, op4_near_dedup, op5_html, op6_ann, op7_toxicity, op8_chat, op9_secrets, op10_mixing, op11_collocations)}
+    return {f.__name__: f for f in (op1_bpe, op2_quality, op3_exact_dedup, op4_near_dedup, op5_html, op6_ann, op7_toxicity, op8_chat, op9_secrets, op10_mixing, op11_collocations, op12_clusters)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": exact_dedup.ORACLE, "op8_chat": chat.ORACLE, "op10_mixing": mixing.ORACLE, "op11_collocations": collocations.ORACLE}
+    return {"op3_exact_dedup": exact_dedup.ORACLE, "op8_chat": chat.ORACLE, "op10_mixing": mixing.ORACLE, "op11_collocations": collocations.ORACLE, "op12_clusters": clusters.ORACLE}
