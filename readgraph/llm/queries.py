@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, chat, clusters, collocations, exact_dedup, html_text, mixing, near_dedup, quality, secrets, toxicity
+from . import ann, bpe, chat, clusters, collocations, exact_dedup, html_text, mixing, near_dedup, pii, quality, secrets, toxicity
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -64,8 +64,12 @@ def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.cluster(table(spark, sf_dir, "embeddings"))
 
 
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_quality, op3_exact_dedup, op4_near_dedup, op5_html, op6_ann, op7_toxicity, op8_chat, op9_secrets, op10_mixing, op11_collocations, op12_clusters)}
+    return {f.__name__: f for f in (op1_bpe, op2_quality, op3_exact_dedup, op4_near_dedup, op5_html, op6_ann, op7_toxicity, op8_chat, op9_secrets, op10_mixing, op11_collocations, op12_clusters, op13_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
