@@ -2,66 +2,41 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import materialize
-
-#: What is left of a graph is finished in one task when it has so many edges (in both directions) or less.
-LAST_EDGES = 100_000
+from ..plans.lineage import counted, materialize
 
 
 def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """``node, component`` of every endpoint; a component's label is its smallest node.
 
     Direction doesn't matter; loops, repeated and reversed edges are harmless; rows with a null
-    endpoint are dropped; no edges give no rows. In each round every node takes as its representative the
-    first of its neighbours and itself in the order of a hash that differs by round, and the graph is
-    contracted to the representatives. Whatever the graph and the names of its nodes, a round leaves three
-    quarters of the nodes or less on average (Bögeholz, Brand and Todor, 2018), so the rounds grow with
-    their logarithm and their work with their number. The last ``LAST_EDGES`` are joined in one task. The
-    representatives are then followed back from the last round to the first. Rounds are written to the shared folder; the joins are equi-joins on node ids, so
-    the edges of a hub are split by Spark's skew join.
+    endpoint are dropped; no edges give no rows. In each round every node chooses the first of its neighbours
+    and itself in the order of a hash that differs by round, and takes the choice of its choice as its representative;
+    the graph is contracted to the representatives. Whatever the graph and the names of its nodes, a round leaves three
+    quarters of the nodes or less on average (Bögeholz, Brand and Todor, 2018, who take the choice itself), so the rounds
+    grow with their logarithm and their work with their number; it goes on until no edge is left, at every size. The
+    representatives are then followed back from the last round to the first. Rounds are written to the shared folder, and
+    their edges counted as they are written; the joins are equi-joins on node ids, so the edges of a hub are split by
+    Spark's skew join.
     """
     return contracted(edges, src, dst)[0]
 
 
-def _joined(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """``u, r`` of each node of some edges ``u, v``: a representative that all nodes it is connected with share."""
-    parent: dict = {}
-
-    def root(x):
-        while (up := parent.setdefault(x, x)) != x:
-            parent[x] = parent[up]
-            x = parent[x]
-        return x
-
-    for frame in frames:
-        for u, v in zip(frame["u"], frame["v"], strict=True):
-            parent[root(u)] = root(v)
-    nodes = list(parent)
-    if nodes:
-        yield pd.DataFrame({"u": nodes, "r": [root(n) for n in nodes]}, dtype="object")
-
-
-def contracted(edges: DataFrame, src: str, dst: str, last_edges: int = LAST_EDGES) -> tuple[DataFrame, int]:
+def contracted(edges: DataFrame, src: str, dst: str) -> tuple[DataFrame, int]:
     """The components and the number of rounds."""
     plain = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u IS NOT NULL AND v IS NOT NULL")
-    both = materialize(plain.union(plain.select("v", "u")).distinct(), "cc-edges")
-    kind = both.schema["u"].dataType.simpleString()
+    both, left = counted(plain.union(plain.select("v", "u")).distinct(), "cc-edges")
     rounds: list[DataFrame] = []
-    while (left := both.count()) > last_edges:
+    while left or not rounds:
         order = lambda c, k=len(rounds): F.struct(F.xxhash64(F.lit(k), c).alias("h"), F.col(c).alias("r"))
-        chosen = both.groupBy("u").agg(F.min(order("v")).alias("near")).select("u", F.least(order("u"), "near")["r"].alias("r"))
-        rounds.append(chosen := materialize(chosen, "cc-round"))
+        chosen = both.groupBy("u").agg(F.min(order("v")).alias("near")).select("u", F.least(order("u"), "near")["r"].alias("first"))
+        further = chosen.select(F.col("u").alias("first"), F.col("first").alias("r"))
+        rounds.append(chosen := materialize(chosen.join(further, "first").select("u", "r"), "cc-round"))
         half = both.join(chosen, "u").select(F.col("r").alias("ru"), F.col("v").alias("u"))
         whole = half.join(chosen, "u").filter("ru <> r").select(F.col("ru").alias("u"), F.col("r").alias("v"))
-        both = materialize(whole.distinct(), "cc-edges")
-    if left or not rounds:
-        rounds.append(materialize(both.repartition(1).mapInPandas(_joined, f"u {kind}, r {kind}"), "cc-round"))
+        both, left = counted(whole.distinct(), "cc-edges")
     found = rounds[-1]
     for before in reversed(rounds[:-1]):
         later = found.select(F.col("u").alias("r"), F.col("r").alias("further"))

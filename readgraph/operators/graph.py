@@ -144,11 +144,15 @@ def remove_short_edges(graph: Graph, ratio: float) -> Graph:
 
 
 def weak_edges(graph: Graph) -> DataFrame:
-    """``src, dst`` of all edges but their source's most alike one (the shortest of equals), where there are several."""
+    """``src, dst`` of all edges but their source's most alike one (the shortest of equals), where there are several.
+
+    An edge without a number as its identity (NaN) is never the most alike; of several such none stays.
+    """
     own = Window.partitionBy("src")
-    sound = F.when(F.isnan("identity"), F.lit(-2.0)).otherwise(F.col("identity"))
-    rank = F.row_number().over(own.orderBy(F.desc(sound), "edge_len", "dst"))
-    return graph.edges.select("src", "dst", rank.alias("r")).filter("r > 1").select("src", "dst")
+    sound = ~F.isnan("identity")
+    rank = F.row_number().over(own.orderBy(F.desc(sound), F.desc("identity"), "edge_len", "dst"))
+    ranked = graph.edges.select("src", "dst", ((rank == 1) & sound).alias("best"), F.count(F.lit(1)).over(own).alias("n"))
+    return ranked.filter("n >= 2 AND NOT best").select("src", "dst")
 
 
 def remove_weak_edges(graph: Graph) -> Graph:

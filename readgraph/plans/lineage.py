@@ -7,7 +7,8 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 #: Folders that this process has written, by application; and those that are kept for a whole session, by name.
 _written: dict[str, list[str]] = {}
@@ -46,6 +47,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """``materialize``, and the number of rows, observed as they are written."""
+    seen = Observation()
+    found = materialize(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    return found, seen.get["n"]
+
+
 def bucketed(df: DataFrame, name: str, buckets: int, *columns: str) -> DataFrame:
     """As ``materialize``, in a number of buckets by columns: tables with as many are joined on these without a shuffle."""
     path, table = new_folder(df.sparkSession, name), f"readgraph_{uuid.uuid4().hex}"

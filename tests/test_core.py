@@ -210,9 +210,8 @@ def test_components(spark):
         parent[y] = x
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(pairs + [(None, "n000")], "src string, dst string")).collect()}
     assert got == {n: find(n) for p in pairs for n in p}
-    for last in (0, 40):  # all by contraction, and the last edges in one task
-        found, rounds = components.contracted(spark.createDataFrame(pairs, "src string, dst string"), "src", "dst", last)
-        assert {r["node"]: r["component"] for r in found.collect()} == got and rounds > 1
+    found, rounds = components.contracted(spark.createDataFrame(pairs, "src string, dst string"), "src", "dst")
+    assert {r["node"]: r["component"] for r in found.collect()} == got and rounds > 1
     line = [(f"k{i:03}", f"k{i + 1:03}") for i in range(70)]
     assert {r["component"] for r in components.components(spark.createDataFrame(line, "src string, dst string")).collect()} == {"k000"}
     assert components.components(spark.createDataFrame([], "src string, dst string")).count() == 0
@@ -223,7 +222,7 @@ def test_component_rounds_grow_with_the_logarithm(spark):
     n = 2_000
     names = [4 * abs(i - n // 2) + 2 * (i > n // 2) + half for half in (1, 0) for i in range(n)]
     line = list(zip(names, names[1:], strict=False))
-    found, rounds = components.contracted(spark.createDataFrame(line, "src bigint, dst bigint"), "src", "dst", last_edges=0)
+    found, rounds = components.contracted(spark.createDataFrame(line, "src bigint, dst bigint"), "src", "dst")
     labels = {r["component"] for r in found.collect()}
     assert len(set(names)) == 2 * n == found.count() and labels == {0} and rounds <= 40
 
