@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.column import Column
 
 #: Folders that this process has written, by application; and those that are kept for a whole session, by name.
 _written: dict[str, list[str]] = {}
@@ -47,11 +48,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
-    """``materialize``, and the number of rows, observed as they are written."""
+def counted(df: DataFrame, name: str, what: Column | None = None) -> tuple[DataFrame, int]:
+    """``materialize``, and the number of rows (or another aggregate), observed as they are written."""
     seen = Observation()
-    found = materialize(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
-    return found, seen.get["n"]
+    found = materialize(df.observe(seen, (F.count(F.lit(1)) if what is None else what).alias("n")), name)
+    return found, seen.get["n"] or 0
 
 
 def bucketed(df: DataFrame, name: str, buckets: int, *columns: str) -> DataFrame:

@@ -527,6 +527,12 @@ def remove_bubbles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bubbles.bubble_nodes(_trimmed(spark, sf_dir), GRAPH.max_bubble_length, GRAPH.min_support_ratio)
 
 
+@query()
+def remove_bubbles_by_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``remove_bubbles``, with all neighbourhoods worked off by joins, as those are that are too large for a task."""
+    return bubbles.bubble_nodes(_trimmed(spark, sf_dir), GRAPH.max_bubble_length, GRAPH.min_support_ratio, split_edges=0)
+
+
 # ---------------------------------------------------------------- unitigs and files
 
 
@@ -540,6 +546,55 @@ def unitig_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unitigs.compress(_clean(spark, sf_dir)).unitigs.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("n_members").alias("n_members"))
 
 
+CONTENDED = """,
+single AS (SELECT dst, min(src) AS src FROM edges GROUP BY dst HAVING count(*) = 1),
+simple AS (SELECT node_id FROM degree WHERE in_degree = 1 AND out_degree = 1),
+way AS (SELECT d.node_id, i.src AS at FROM degree d JOIN single i ON i.dst = d.node_id WHERE d.in_degree = 1 AND d.out_degree >= 2
+        UNION ALL SELECT w.node_id, i.src FROM way w JOIN simple s ON s.node_id = w.at JOIN single i ON i.dst = w.at),
+begun AS (SELECT node_id, at AS start FROM way WHERE at NOT IN (SELECT node_id FROM simple)),
+hops AS (SELECT node_id, start, 1 AS n FROM begun WHERE start < node_id
+         UNION ALL SELECT h.node_id, b.start, h.n + 1 FROM hops h JOIN begun b ON b.node_id = h.start WHERE b.start < b.node_id),
+contended AS (SELECT b.node_id, b.start, coalesce(h.n, 0) % 2 = 1 AS swallowed FROM begun b LEFT JOIN (SELECT node_id, max(n) AS n FROM hops GROUP BY 1) h USING (node_id))
+"""
+
+
+@query(CLEAN + CONTENDED + "SELECT node_id, start, swallowed FROM contended")
+def contended_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the two orders of unitigs differ: nodes that branch after a single edge in, and whether a walk in order of nodes swallows them."""
+    return unitigs.contended_nodes(_clean(spark, sf_dir))
+
+
+SEQUENTIAL = CONTENDED + """,
+starts AS (SELECT node_id FROM degree WHERE out_degree >= 1 AND NOT (in_degree = 1 AND out_degree = 1) AND node_id NOT IN (SELECT node_id FROM contended WHERE swallowed)),
+ended AS (SELECT node_id FROM degree WHERE in_degree = 1 AND out_degree <= 1 UNION SELECT node_id FROM contended WHERE swallowed),
+links AS (SELECT e.src AS node, e.dst AS next, e.edge_len FROM edges e WHERE e.src IN (SELECT node_id FROM simple) AND e.dst IN (SELECT node_id FROM ended)),
+heads AS (SELECT e.src AS start, e.dst AS head, e.edge_len FROM edges e WHERE e.src IN (SELECT node_id FROM starts) AND e.dst IN (SELECT node_id FROM ended)),
+chain AS (SELECT start, head, head AS node, CAST(1 AS BIGINT) AS idx FROM heads
+          UNION ALL SELECT c.start, c.head, l.next, c.idx + 1 FROM chain c JOIN links l ON l.node = c.node),
+late AS (SELECT e.src AS start, e.dst AS head, e.dst AS node, 0 AS place FROM edges e JOIN contended c ON c.node_id = e.src AND c.swallowed JOIN degree d ON d.node_id = e.dst AND d.in_degree = 1 AND d.out_degree <= 1
+         UNION ALL SELECT t.start, t.head, l.next, t.place + 1 FROM late t JOIN links l ON l.node = t.node JOIN degree d ON d.node_id = l.next AND d.out_degree <= 1),
+parts AS (SELECT *, min(node) OVER (PARTITION BY start, head ORDER BY place) AS own FROM late),
+held AS (SELECT p.own, p.node, row_number() OVER (PARTITION BY p.start, p.head, p.own ORDER BY p.place) - 1 AS idx, e.dst AS next, e.edge_len FROM parts p JOIN edges e ON e.src = p.node),
+rest AS (SELECT * FROM links WHERE node NOT IN (SELECT node FROM chain UNION ALL SELECT node FROM late)),
+ring AS (SELECT node AS start, next AS head, node, CAST(0 AS BIGINT) AS idx, next, edge_len FROM rest
+         UNION ALL SELECT g.start, g.head, r.node, g.idx + 1, r.next, r.edge_len FROM ring g JOIN rest r ON r.node = g.next WHERE r.node > g.start),
+closed AS (SELECT DISTINCT start FROM ring WHERE next = start),
+members0 AS (SELECT 0 AS rank, start, head, start AS node_id, CAST(0 AS BIGINT) AS idx, head AS next_id, edge_len FROM heads
+             UNION ALL SELECT 0, c.start, c.head, c.node, c.idx, l.next, l.edge_len FROM chain c LEFT JOIN links l ON l.node = c.node
+             UNION ALL SELECT 1, start, head, node, idx, next, edge_len FROM ring WHERE start IN (SELECT start FROM closed)
+             UNION ALL SELECT 1, h.own, f.next, h.node, h.idx, h.next, h.edge_len FROM held h JOIN held f ON f.own = h.own AND f.idx = 0),
+named AS (SELECT rank, start, head, count(*) AS n_members FROM members0 GROUP BY ALL
+          UNION ALL SELECT 2, node_id, '', 0 FROM degree WHERE out_degree = 0 AND node_id NOT IN (SELECT node_id FROM members0) AND node_id NOT IN (SELECT node FROM parts WHERE own <> node)),
+ids AS (SELECT *, row_number() OVER (ORDER BY rank, start, head) - 1 AS unitig_id FROM named)
+SELECT i.unitig_id, CAST(m.idx AS INT) AS idx, m.node_id, coalesce(m.next_id, '') AS next_id, coalesce(m.edge_len, 0) AS edge_len FROM members0 m JOIN ids i USING (rank, start, head)"""
+
+
+@query(CLEAN + SEQUENTIAL)
+def sequential_unitigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of the unitigs that a walk in ascending order of nodes gives."""
+    return unitigs.compress(_clean(spark, sf_dir), "sequential").members.fillna("", ["next_id"]).fillna(0, ["edge_len"])
+
+
 @query(CLEAN + UNITIGS + "SELECT * FROM unitig_edges")
 def unitig_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unitigs.compress(_clean(spark, sf_dir)).edges
