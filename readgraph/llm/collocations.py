@@ -3,25 +3,26 @@
 Every word begins a suffix of its piece, truncated to ``max_words`` words: these are the leaves of a suffix tree of
 that depth, and a phrase occurs as often as the leaves below its node say. The tree is partitioned vertically:
 
-1. prefixes of one word are counted, and those with more than ``budget`` suffixes are extended by a word, and again,
+1. prefixes of one word are counted, and those with more suffixes than the budget are extended by a word, and again,
 2. prefixes are put into groups by a hash, so many that a group's suffixes come to half the budget on average,
-3. each task counts the leaves of its own rows and sends each group one sorted, compressed run of them, so that a phrase
-   that is everywhere arrives once a task,
-4. each group's subtrees are built on their own, within the budget, and their nodes' counts are the sums of their leaves.
+3. each task counts the leaves of its own rows, some words at a time, and sends each group one sorted, compressed run of
+   them, so that a phrase that is everywhere arrives once each time,
+4. each group's subtrees are built on their own, within the budget: the runs' leaves are sorted together, and a node's count
+   is the sum of the leaves that begin with it.
 
 A node above an extended prefix has its leaves in several groups, whose sums are added.
 """
 
 from __future__ import annotations
 
-import itertools
 import zlib
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,8 +31,9 @@ from .common import materialize
 MAX_WORDS, LEAST, FIRST, COVER_PERCENT = 3, 10, 2_000, 50
 BREAKS = ".,;:!?\n\x0b\x0c\r"
 #: Suffixes below one prefix, and twice the mean of a group's; and the most prefixes that may be extended, by length, as they are broadcast.
-BUDGET, MOST_EXTENDED = 400_000, 500_000
-LEAVES_A_RUN, WINDOWS_AT_ONCE = 400_000, 50_000
+BUDGET, MOST_EXTENDED = 2_000_000, 500_000
+#: Words that a task counts at a time.
+AT_ONCE = 1_000_000
 #: Parts in which a language's phrases are ranked first.
 RANK_PARTS = 32
 
@@ -42,97 +44,152 @@ def normalised(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataF
     return docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"), plain.alias("text"))
 
 
-def extended_prefixes(plain: DataFrame, max_words: int, budget: int, most_extended: int) -> tuple[dict[str, set[str]], int, int]:
-    """By language the prefixes of more suffixes than the budget, of all lengths below ``max_words``; the number of words; the budget.
-
-    The budget is raised if so many prefixes could be above it that they couldn't be broadcast.
+def _words(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.Array, np.ndarray]]:
+    """For each language the words of the batch's texts, and the number of the piece that each is in."""
+    for lang in pc.unique(batch["lang"]):
+        texts = batch["text"].filter(pc.equal(batch["lang"], lang))
+        parts = pc.split_pattern(pc.split_pattern(texts, "\n").flatten(), " ")
+        words, piece = parts.flatten(), pc.list_parent_indices(parts)
+        full = pc.not_equal(words, "")
+        yield lang.as_py(), words.filter(full), piece.filter(full).to_numpy()
+
+
+class Leaves:
+    """Different leaves in order, as numbers of words in ``words`` from 1 on (0: none, the piece has ended), with their counts."""
+
+    def __init__(self, words: pa.Array, columns: list[np.ndarray], counts: np.ndarray):
+        """Of leaves in any order; equal ones are added up."""
+        n = len(words) + 1
+        if n ** len(columns) < 2**63:
+            key = columns[0].astype(np.int64)
+            for c in columns[1:]:
+                key = key * n + c
+            order = np.argsort(key, kind="stable")
+        else:
+            order = np.lexsort(columns[::-1])
+        columns = [c[order] for c in columns]
+        starts = self._changes(columns)
+        self.words, self.columns = words, [c[starts] for c in columns]
+        self.counts = np.add.reduceat(counts[order], starts) if len(starts) else counts
+
+    @staticmethod
+    def _changes(columns: list[np.ndarray]) -> np.ndarray:
+        new = np.zeros(len(columns[0]), bool)
+        new[:1] = True
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        return np.flatnonzero(new)
+
+    def nodes(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The first leaf of each node of k words, and the sum of all of its leaves."""
+        starts = self._changes(self.columns[:k])
+        sums = np.add.reduceat(self.counts, starts) if len(starts) else self.counts[:0]
+        whole = self.columns[k - 1][starts] > 0
+        return starts[whole], sums[whole]
+
+    def hashes(self, lang: str, k: int, at: np.ndarray | None = None) -> np.ndarray:
+        """Of the first k words of leaves, and the language."""
+        columns = self.columns if at is None else [c[at] for c in self.columns]
+        of_word = pd.util.hash_array(np.array(["", *self.words.to_pylist()], object), categorize=False)
+        found = np.full(len(columns[0]), pd.util.hash_array(np.array([lang], object), categorize=False)[0])
+        for c in columns[:k]:
+            found = (found ^ of_word[c]) * np.uint64(0x9E3779B97F4A7C15)
+            found ^= found >> np.uint64(29)
+        return found
+
+    def phrases(self, k: int, at: np.ndarray) -> list[str]:
+        columns = [self.words.take(pa.array(c[at] - 1)).to_pylist() for c in self.columns[:k]]
+        return [" ".join(x) for x in zip(*columns, strict=True)]
+
+
+def leaves_of(batches: Iterator[pa.RecordBatch], max_words: int) -> Iterator[tuple[str, int, Leaves]]:
+    """Language, number of words and leaves, for at most ``AT_ONCE`` words at a time."""
+    for batch in batches:
+        for lang, words, piece in _words(batch):
+            for start in range(0, len(words), AT_ONCE):
+                n = min(AT_ONCE, len(words) - start)
+                coded = words.slice(start, n + max_words - 1).dictionary_encode()
+                order = pc.sort_indices(coded.dictionary)
+                rank = np.empty(len(order), np.int64)
+                rank[order.to_numpy()] = np.arange(1, len(order) + 1)
+                ids, own = rank[coded.indices.to_numpy()], piece[start : start + n + max_words - 1]
+                columns = [ids[:n]]
+                for k in range(1, max_words):
+                    ahead = np.zeros(n, np.int64)
+                    more = min(n, len(ids) - k)
+                    if more > 0:
+                        ahead[:more] = np.where(own[k : k + more] == own[:more], ids[k : k + more], 0)
+                    columns.append(ahead)
+                yield lang, n, Leaves(coded.dictionary.take(order), columns, np.ones(n, np.int64))
+
+
+def extended_prefixes(plain: DataFrame, max_words: int, budget: int, most_extended: int) -> tuple[list[np.ndarray], int, int]:
+    """For each length below ``max_words`` the hashes of the prefixes of more suffixes than the budget; the number of words; the budget.
+
+    The budget is raised if so many prefixes could be above it that they couldn't be broadcast. Of each stretch of words
+    only prefixes above their share of a quarter of the budget are reported, so their sums fall short by that at most:
+    prefixes are extended from three quarters on, which are those above the budget and some more.
     """
-    words = plain.select("lang", F.explode(F.split("text", "\n")).alias("piece")).select("lang", F.filter(F.split("piece", " "), lambda w: w != "").alias("w")).filter(F.size("w") > 0)
-    counted = materialize(words.select("lang", F.explode("w").alias("prefix")).groupBy("lang", "prefix").agg(F.count(F.lit(1)).alias("n")), "phrase-words")
-    total = counted.agg(F.sum("n")).head()[0] or 0
-    budget = max(budget, -(-total // most_extended))
-    found: dict[str, set[str]] = defaultdict(set)
-    for k in range(1, max_words):
-        heavy = counted.filter(F.col("n") > budget).select("lang", "prefix")  # fewer than total / budget rows
-        for lang, prefix in (rows := heavy.collect()):
-            found[lang].add(prefix)
-        if not rows or k == max_words - 1:
-            break
-        longer = F.transform(F.sequence(F.lit(1), F.size("w") - k), lambda i, k=k: F.struct(F.array_join(F.slice("w", i, F.lit(k)), " ").alias("prefix"), F.array_join(F.slice("w", i, F.lit(k + 1)), " ").alias("longer")))
-        ahead = words.filter(F.size("w") > k).select("lang", F.explode(longer).alias("x")).select("lang", "x.*")
-        counted = ahead.join(F.broadcast(heavy), ["lang", "prefix"], "left_semi").groupBy("lang", F.col("longer").alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
-        counted = materialize(counted.filter(F.col("n") > budget), "phrase-prefixes")
-    return dict(found), total, budget
-
-
-def suffixes(text: str, max_words: int) -> Iterator[str]:
-    """The truncated suffixes of a normalised text's pieces."""
-    for piece in text.split("\n"):
-        words = [w for w in piece.split(" ") if w]
-        if words:
-            yield from map(" ".join, zip(*(itertools.islice(words, k, None) for k in range(max_words)), strict=False))
-            for k in range(max(0, len(words) - max_words + 1), len(words)):
-                yield " ".join(words[k:])
-
-
-class Groups:
-    """Which group a leaf belongs to: that of its shortest prefix within the budget."""
-
-    def __init__(self, extended: dict[str, set[str]], n: int):
-        self.extended, self.n = extended, n
-
-    def of(self, lang: str, leaves: list[str]) -> Iterator[int]:
-        extended, before, group = self.extended.get(lang, ()), None, 0
-        for leaf in leaves:
-            end = leaf.find(" ")
-            prefix = leaf if end < 0 else leaf[:end]
-            while end >= 0 and prefix in extended:
-                end = leaf.find(" ", end + 1)
-                prefix = leaf if end < 0 else leaf[:end]
-            if prefix != before:
-                before, group = prefix, zlib.crc32(f"{lang} {prefix}".encode()) % self.n
-            yield group
-
-
-RUN = pa.schema([("group", pa.int32()), ("lang", pa.string()), ("leaves", pa.binary()), ("counts", pa.binary())])
-
-
-def _runs(counts: dict[str, Counter], groups: Groups) -> Iterator[pa.RecordBatch]:
-    """The leaves counted so far, as one run for each language and group."""
-    for lang, counter in counts.items():
-        leaves = sorted(counter)
-        parts: dict[int, list[str]] = defaultdict(list)
-        for leaf, group in zip(leaves, groups.of(lang, leaves), strict=True):
-            parts[group].append(leaf)
-        rows = [(g, lang, zlib.compress("\n".join(part).encode(), 1), zlib.compress(np.array([counter[x] for x in part], "<i8").tobytes(), 1)) for g, part in parts.items()]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), RUN.types, strict=True)], schema=RUN)
-    counts.clear()
-
-
-def leaf_runs(plain: DataFrame, groups, max_words: int) -> DataFrame:
-    """``group, lang, leaves, counts``: the runs of each task's rows; a task holds ``LEAVES_A_RUN`` different leaves at most."""
+    most = (plain.agg(F.sum(F.length("text") + 1)).head()[0] or 0) // 2 + 1  # words, each with what separates it from the next
+    budget = max(budget, -(-most // most_extended))
+    share = budget / 4 / most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, n, leaves in leaves_of(batches, max(1, max_words - 1)):
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([0], pa.int64()), pa.array([n], pa.int64())], names=["k", "h", "n"])
+            for k in range(1, max_words):
+                at, sums = leaves.nodes(k)
+                large = sums > share * n
+                if large.any():
+                    h = leaves.hashes(lang, k, at[large]).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), k), pa.int32()), pa.array(h), pa.array(sums[large])], names=["k", "h", "n"])
+
+    sums = materialize(plain.mapInArrow(run, "k int, h bigint, n bigint").groupBy("k", "h").agg(F.sum("n").alias("n")), "phrase-prefixes")
+    total = sums.filter("k = 0").agg(F.sum("n")).head()[0] or 0
+    found: list[list[int]] = [[] for _ in range(max_words)]
+    for k, h in sums.filter("k > 0").filter(F.col("n") > 0.75 * budget).select("k", "h").collect():  # fewer than 4 / 3 * total / budget for each k
+        found[k].append(h)
+    return [np.array(sorted(x), np.int64).astype(np.uint64) for x in found], total, budget
+
+
+RUN = pa.schema([("group", pa.int32()), ("lang", pa.string()), ("words", pa.binary()), ("numbers", pa.binary())])
+
+
+def _packed(leaves: Leaves, at: np.ndarray) -> tuple[bytes, bytes]:
+    columns = [c[at] for c in leaves.columns]
+    used = np.unique(np.concatenate([[0], *columns]))
+    numbers = np.concatenate([*(np.searchsorted(used, c) for c in columns), leaves.counts[at]]).astype("<i4")
+    words = "\n".join(leaves.words.take(pa.array(used[1:] - 1)).to_pylist())
+    return zlib.compress(words.encode(), 1), zlib.compress(numbers.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)  # bytes of one rank together
+
+
+def _unpacked(words: bytes, numbers: bytes, max_words: int) -> tuple[list[str], list[np.ndarray]]:
+    flat = np.ascontiguousarray(np.frombuffer(zlib.decompress(numbers), np.uint8).reshape(4, -1).T).view("<i4").ravel()
+    return zlib.decompress(words).decode().split("\n"), np.split(flat.astype(np.int64), max_words + 1)
+
+
+def leaf_runs(plain: DataFrame, extended, n_groups: int, max_words: int) -> DataFrame:
+    """``group, lang, words, numbers``: the leaves of each task's rows, in a run for each group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, Counter] = defaultdict(Counter)
-        size = 0
-        for batch in batches:
-            for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                ahead = suffixes(text, max_words)
-                while some := list(itertools.islice(ahead, WINDOWS_AT_ONCE)):
-                    own = counts[lang]
-                    size -= len(own)
-                    own.update(some)
-                    size += len(own)
-                    if size >= LEAVES_A_RUN:
-                        yield from _runs(counts, groups.value)
-                        size = 0
-        yield from _runs(counts, groups.value)
-
-    return plain.mapInArrow(run, "group int, lang string, leaves binary, counts binary")
-
-
-def subtree_nodes(runs: DataFrame, groups, max_words: int, least: int) -> DataFrame:
+        for lang, _, leaves in leaves_of(batches, max_words):
+            of = leaves.hashes(lang, 1)
+            open_ = np.ones(len(of), bool)
+            for k in range(1, max_words):
+                open_ &= np.isin(of, extended.value[k])
+                of = np.where(open_, leaves.hashes(lang, k + 1), of)
+            group = (of % np.uint64(n_groups)).astype(np.int64)
+            order = np.argsort(group, kind="stable")
+            cuts = np.flatnonzero(np.diff(group[order])) + 1
+            parts = np.split(order, cuts) if len(order) else []
+            rows = [(int(group[p[0]]), lang, *_packed(leaves, p)) for p in parts]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), RUN.types, strict=True)], schema=RUN)
+
+    return plain.mapInArrow(run, "group int, lang string, words binary, numbers binary")
+
+
+def subtree_nodes(runs: DataFrame, extended, max_words: int, least: int) -> DataFrame:
     """``lang, words, phrase, f`` of the nodes of each group's subtrees.
 
     A node that is whole in its group is left out below ``least``; the root (no words) and extended prefixes are parts,
@@ -140,22 +197,26 @@ def subtree_nodes(runs: DataFrame, groups, max_words: int, least: int) -> DataFr
     """
 
     def build(table: pa.Table) -> pa.Table:
-        nodes: dict[str, list[dict[str, int]]] = {}
-        for lang, leaves, counts in zip(*(table[c].to_pylist() for c in ("lang", "leaves", "counts")), strict=True):
-            levels = nodes.setdefault(lang, [defaultdict(int) for _ in range(max_words + 1)])
-            for leaf, n in zip(zlib.decompress(leaves).decode().split("\n"), np.frombuffer(zlib.decompress(counts), "<i8").tolist(), strict=True):
-                levels[leaf.count(" ") + 1][leaf] += n
+        by_lang: dict[str, list] = {}
+        for lang, words, numbers in zip(*(table[c].to_pylist() for c in ("lang", "words", "numbers")), strict=True):
+            by_lang.setdefault(lang, []).append(_unpacked(words, numbers, max_words))
         out: list[tuple[str, int, str, int]] = []
-        for lang, levels in nodes.items():
-            extended = groups.value.extended.get(lang, ())
-            for k in range(max_words, 0, -1):
-                above = levels[k - 1]
-                for phrase, n in levels[k].items():
-                    above[phrase[: max(0, phrase.rfind(" "))]] += n
-                    if n >= least or phrase in extended:
-                        out.append((lang, k, phrase, n))
-                levels[k] = {}
-            out.append((lang, 0, "", levels[0][""]))
+        for lang, runs_ in by_lang.items():
+            coded = pa.array([w for words, _ in runs_ for w in words]).dictionary_encode()
+            ids, at, columns = coded.indices.to_numpy() + 1, 0, []
+            for words, numbers in runs_:
+                own = np.concatenate([[0], ids[at : at + len(words)]])
+                columns.append([own[c] for c in numbers[:-1]] + [numbers[-1]])
+                at += len(words)
+            *columns, counts = (np.concatenate(c) for c in zip(*columns, strict=True))
+            leaves = Leaves(coded.dictionary, columns, counts)
+            out.append((lang, 0, "", int(counts.sum())))
+            for k in range(1, max_words + 1):
+                at, sums = leaves.nodes(k)
+                shown = sums >= least
+                if k < max_words:
+                    shown |= np.isin(leaves.hashes(lang, k, at), extended.value[k])
+                out += zip([lang] * shown.sum(), [k] * shown.sum(), leaves.phrases(k, at[shown]), sums[shown].tolist(), strict=True)
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int32(), pa.string(), pa.int64()), strict=True)], names=["lang", "words", "phrase", "f"])
 
     found = runs.groupBy("group").applyInArrow(build, "lang string, words int, phrase string, f bigint")
@@ -166,8 +227,8 @@ def phrase_counts(docs: DataFrame, max_words: int = MAX_WORDS, least: int = LEAS
     """``lang, words, phrase, f`` of phrases of at most ``max_words`` words that occur ``least`` times, and each language's number of words as that of no words."""
     plain = normalised(docs, text, lang)
     extended, total, budget = extended_prefixes(plain, max_words, budget, most_extended)
-    groups = docs.sparkSession.sparkContext.broadcast(Groups(extended, -(-2 * total // budget) + 1))
-    return subtree_nodes(leaf_runs(plain, groups, max_words), groups, max_words, least).filter((F.col("f") >= least) | (F.col("words") == 0))
+    shared = docs.sparkSession.sparkContext.broadcast(extended)
+    return subtree_nodes(leaf_runs(plain, shared, -(-2 * total // budget) + 1, max_words), shared, max_words, least).filter((F.col("f") >= least) | (F.col("words") == 0))
 
 
 def mine(
@@ -183,7 +244,7 @@ def mine(
 
     A null text counts as empty, a null language as ``und``. Repeated rows count each. An empty table, or one without
     phrases, gives an empty result. Columns other than text and language are not read. Texts of any length are
-    read whole: a task counts windows by the ten thousands.
+    read whole.
     """
     nodes = materialize(phrase_counts(docs, max_words, least, text, lang, budget, most_extended), "phrase-nodes")
     phrases = nodes.filter("words >= 2")

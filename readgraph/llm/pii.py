@@ -91,7 +91,7 @@ def matches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
 
 def judged(found: DataFrame) -> DataFrame:
-    """With ``digits``, ``base`` (a base span) and ``candidate`` (a candidate that no base span touches); failing matches go."""
+    """With ``digits``, ``base`` (a base span) and ``candidate`` (a candidate that no base span touches); failing matches are neither."""
     d = _digits(F.col("match"))
     n = F.length(d)
     sound = (
@@ -102,12 +102,13 @@ def judged(found: DataFrame) -> DataFrame:
         .otherwise(True)
     )
     of_base = F.col("kind") < len(BASE)
-    good = found.withColumn("digits", F.when(F.col("kind").isin(2, 3, 4), d)).withColumn("base", of_base & sound).filter(F.col("kind").isNull() | sound)
+    sure = lambda c: F.coalesce(c, F.lit(False))
+    good = found.withColumn("digits", F.when(F.col("kind").isin(2, 3, 4), d)).withColumn("sound", sure(sound & F.col("kind").isNotNull())).withColumn("base", sure(of_base) & F.col("sound"))
     order = Window.partitionBy("row").orderBy("start", F.desc("base"))
     before = F.max(F.when(F.col("base"), F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
     after = F.min(F.when(F.col("base"), F.col("start"))).over(order.rowsBetween(1, Window.unboundedFollowing))
-    touched = F.coalesce(before > F.col("start"), F.lit(False)) | F.coalesce(after < F.col("end"), F.lit(False))
-    return good.withColumn("candidate", ~of_base & ~touched)
+    touched = sure(before > F.col("start")) | sure(after < F.col("end"))
+    return good.withColumn("candidate", F.col("sound") & ~F.col("base") & ~touched).drop("sound")
 
 
 def _any(words: str) -> str:
