@@ -549,9 +549,9 @@ def unitig_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 CONTENDED = """,
 single AS (SELECT dst, min(src) AS src FROM edges GROUP BY dst HAVING count(*) = 1),
 simple AS (SELECT node_id FROM degree WHERE in_degree = 1 AND out_degree = 1),
-way AS (SELECT d.node_id, i.src AS at FROM degree d JOIN single i ON i.dst = d.node_id WHERE d.in_degree = 1 AND d.out_degree >= 2
-        UNION ALL SELECT w.node_id, i.src FROM way w JOIN simple s ON s.node_id = w.at JOIN single i ON i.dst = w.at),
-begun AS (SELECT node_id, at AS start FROM way WHERE at NOT IN (SELECT node_id FROM simple)),
+way AS (SELECT d.node_id, i.src AS met FROM degree d JOIN single i ON i.dst = d.node_id WHERE d.in_degree = 1 AND d.out_degree >= 2
+        UNION ALL SELECT w.node_id, i.src FROM way w JOIN simple s ON s.node_id = w.met JOIN single i ON i.dst = w.met),
+begun AS (SELECT node_id, met AS start FROM way WHERE met NOT IN (SELECT node_id FROM simple)),
 hops AS (SELECT node_id, start, 1 AS n FROM begun WHERE start < node_id
          UNION ALL SELECT h.node_id, b.start, h.n + 1 FROM hops h JOIN begun b ON b.node_id = h.start WHERE b.start < b.node_id),
 contended AS (SELECT b.node_id, b.start, coalesce(h.n, 0) % 2 = 1 AS swallowed FROM begun b LEFT JOIN (SELECT node_id, max(n) AS n FROM hops GROUP BY 1) h USING (node_id))
