@@ -2,21 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequences import rc_node
-from ..plans.lineage import materialize
+from ..plans.lineage import counted, materialize
 from .graph import Graph, drop_edges
+from .numbering import dense_ids
+
+
+def numbered_edges(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``node, id`` with ids in the order of names, and ``src, dst, len`` of the edges in ids: the shortest of each two ends, no loops."""
+    names = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    ids = materialize(dense_ids(names, ["node"], "id"), "node-ids")
+    of = lambda c: ids.select(F.col("node").alias(c), F.col("id").alias(f"{c}_id"))
+    plain = edges.filter("src <> dst").groupBy("src", "dst").agg(F.min("edge_len").alias("len"))
+    return ids, materialize(plain.join(of("src"), "src").join(of("dst"), "dst").select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst"), "len"), "edges-by-id")
 
 
 def triangles(edges: DataFrame) -> DataFrame:
-    """``n1, n2, n3, len12, len23, longest1, shortest2``: n1 -> n2 -> n3 where n1 -> n3 is an edge too."""
-    own = Window.partitionBy("src")
-    first = edges.select(F.col("src").alias("n1"), F.col("dst").alias("n2"), F.col("edge_len").alias("len12"), F.max("edge_len").over(own).alias("longest1"))
-    second = edges.select(F.col("src").alias("n2"), F.col("dst").alias("n3"), F.col("edge_len").alias("len23"), F.min("edge_len").over(own).alias("shortest2"))
-    direct = edges.select(F.col("src").alias("n1"), F.col("dst").alias("n3"))
-    return first.join(second, "n2").join(direct, ["n1", "n3"])
+    """``n1, n2, n3, len12, len23, len13, longest1, shortest2``: n1 -> n2 -> n3 and n1 -> n3, from edges by number (src, dst, len).
+
+    The three nodes are found from the one with the fewest neighbours: it makes a pair of each two of those of its neighbours
+    that have more. No node has more of these than the square root of twice the number of edges, so a hub, whose
+    neighbours mostly have fewer, makes few pairs. Directions are looked at when the third edge is found.
+    """
+    both = edges.select(F.least("src", "dst").alias("x"), F.greatest("src", "dst").alias("y"), F.when(F.col("src") < F.col("dst"), F.col("len")).alias("up"), F.when(F.col("src") > F.col("dst"), F.col("len")).alias("down"))
+    both = both.groupBy("x", "y").agg(F.min("up").alias("up"), F.min("down").alias("down"))
+    n_near = both.select(F.explode(F.array("x", "y")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    out = edges.groupBy(F.col("src").alias("node")).agg(F.max("len").alias("longest"), F.min("len").alias("shortest"))
+    node = materialize(n_near.join(out, "node", "left"), "node-degrees")
+    of = lambda c: node.select(F.col("node").alias(c), *[F.col(k).alias(f"{k}_{c}") for k in ("n", "longest", "shortest")])
+    pairs = materialize(both.join(of("x"), "x").join(of("y"), "y"), "node-pairs")
+    x_first = F.struct("n_x", "x") < F.struct("n_y", "y")
+    of_lo = lambda a, b: F.when(x_first, F.col(a)).otherwise(F.col(b))
+    low = pairs.select(of_lo("x", "y").alias("v"), of_lo("y", "x").alias("w"), of_lo("up", "down").alias("to"), of_lo("down", "up").alias("back"), of_lo("longest_x", "longest_y").alias("longest_v"), of_lo("shortest_x", "shortest_y").alias("shortest_v"))
+    one = low.select("v", F.col("w").alias("x"), F.col("to").alias("vx"), F.col("back").alias("xv"), "longest_v", "shortest_v")
+    two = low.select("v", F.col("w").alias("y"), F.col("to").alias("vy"), F.col("back").alias("yv"))
+    closed = one.join(two, "v").filter("x < y").join(pairs.select("x", "y", F.col("up").alias("xy"), F.col("down").alias("yx"), "longest_x", "shortest_x", "longest_y", "shortest_y"), ["x", "y"])
+    case = lambda a, b, c: F.struct(F.col(a).alias("n1"), F.col(b).alias("n2"), F.col(c).alias("n3"), F.col(a + b).alias("len12"), F.col(b + c).alias("len23"), F.col(a + c).alias("len13"), F.col(f"longest_{a}").alias("longest1"), F.col(f"shortest_{b}").alias("shortest2"))
+    cases = F.array(*[case(*order) for order in ("vxy", "vyx", "xvy", "xyv", "yvx", "yxv")])
+    return closed.select(F.inline(cases)).filter("len12 IS NOT NULL AND len23 IS NOT NULL AND len13 IS NOT NULL")
 
 
 def transitive_edges(edges: DataFrame, fuzz: int) -> DataFrame:
@@ -26,27 +52,29 @@ def transitive_edges(edges: DataFrame, fuzz: int) -> DataFrame:
     those that it leads to within the source's longest edge and the fuzz. Any target strikes out those that
     it leads to within the fuzz, or by its shortest edge. Only the first rule depends on the order: a target is
     struck out once a nearer one that reaches it stands, and stands once all of them are struck out. That is
-    decided in rounds of joins over rows, so a source's triangles are never held together.
+    decided in rounds of joins over rows of node numbers, so a source's triangles are never held together.
     """
-    tri = triangles(edges)
+    ids, plain = numbered_edges(edges)
     reach = (F.col("len12") + F.col("len23")) <= F.col("longest1") + fuzz
     close = (F.col("len23") < fuzz) | (F.col("len23") == F.col("shortest2"))
-    length = edges.groupBy(F.col("src").alias("n1"), F.col("dst").alias("n3")).agg(F.min("edge_len").alias("len13"))
-    marked = tri.select("n1", "n2", "n3", "len12", reach.alias("far"), close.alias("near")).filter("far OR near").join(length, ["n1", "n3"])
-    marked = materialize(marked.withColumn("nearer", F.struct("len12", "n2") < F.struct("len13", F.col("n3"))), "transitive")
-    far = marked.filter("far").select("n1", "n2", "n3").distinct()
-    open_ = materialize(marked.filter("far AND nearer").select("n1", "n2", "n3").distinct(), "transitive-open")
+    nearer = F.struct("len12", "n2") < F.struct("len13", "n3")
+    marked = triangles(plain).select("n1", "n2", "n3", reach.alias("far"), close.alias("near"), nearer.alias("nearer")).filter("far OR near")
+    marked = materialize(marked, "transitive")
+    far = marked.filter("far").select("n1", "n2", "n3")
+    open_, left = counted(marked.filter("far AND nearer").select("n1", "n2", "n3"), "transitive-open")
     ends = lambda df: df.select("n1", F.col("n3").alias("n2")).distinct()
     new = materialize(far.select("n1", "n2").distinct().join(ends(open_), ["n1", "n2"], "left_anti"), "transitive-stand")
     standing = new
-    while open_.head():
+    while left:
         struck = materialize(ends(open_.join(new, ["n1", "n2"], "left_semi")), "transitive-struck")
         rest = open_.join(struck, ["n1", "n2"], "left_anti").join(struck.withColumnRenamed("n2", "n3"), ["n1", "n3"], "left_anti")
-        rest = materialize(rest.select("n1", "n2", "n3"), "transitive-open")
+        rest, left = counted(rest.select("n1", "n2", "n3"), "transitive-open")
         new = materialize(ends(open_).join(struck, ["n1", "n2"], "left_anti").join(ends(rest), ["n1", "n2"], "left_anti"), "transitive-stand")
         standing, open_ = standing.union(new), rest
-    by_far = far.join(standing, ["n1", "n2"], "left_semi").select(F.col("n1").alias("src"), F.col("n3").alias("dst"))
-    return by_far.union(marked.filter("near").select(F.col("n1").alias("src"), F.col("n3").alias("dst"))).distinct()
+    by_far = far.join(standing, ["n1", "n2"], "left_semi").select(F.col("n1").alias("a"), F.col("n3").alias("b"))
+    found = by_far.union(marked.filter("near").select(F.col("n1").alias("a"), F.col("n3").alias("b"))).distinct()
+    name = lambda c, n: ids.select(F.col("id").alias(c), F.col("node").alias(n))
+    return found.join(name("a", "src"), "a").join(name("b", "dst"), "b").select("src", "dst")
 
 
 def reduce_transitive(graph: Graph, fuzz: int) -> Graph:
