@@ -15,7 +15,6 @@ A node above an extended prefix has its leaves in several groups, whose sums are
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from string import ascii_lowercase, ascii_uppercase
 
@@ -33,7 +32,9 @@ BREAKS = ".,;:!?\n\x0b\x0c\r"
 #: Suffixes below one prefix, and twice the mean of a group's; and the most prefixes that may be extended, by length, as they are broadcast.
 BUDGET, MOST_EXTENDED = 2_000_000, 500_000
 #: Words that a task counts at a time.
-AT_ONCE = 1_000_000
+AT_ONCE = 500_000
+#: Bytes of texts that a task splits into words at a time; a longer text is split alone.
+BYTES_AT_ONCE = 8_000_000
 #: Parts in which a language's phrases are ranked first.
 RANK_PARTS = 32
 
@@ -47,30 +48,40 @@ def normalised(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataF
 def _words(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.Array, np.ndarray]]:
     """For each language the words of the batch's texts, and the number of the piece that each is in."""
     for lang in pc.unique(batch["lang"]):
-        texts = batch["text"].filter(pc.equal(batch["lang"], lang))
-        parts = pc.split_pattern(pc.split_pattern(texts, "\n").flatten(), " ")
-        words, piece = parts.flatten(), pc.list_parent_indices(parts)
-        full = pc.not_equal(words, "")
-        yield lang.as_py(), words.filter(full), piece.filter(full).to_numpy()
+        all_ = batch["text"].filter(pc.equal(batch["lang"], lang))
+        part = np.cumsum(pc.binary_length(all_).to_numpy(zero_copy_only=False)) // BYTES_AT_ONCE
+        bounds = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(all_)]
+        for start, stop in zip(bounds, bounds[1:], strict=False):
+            parts = pc.split_pattern(pc.split_pattern(all_.slice(start, stop - start), "\n").flatten(), " ")
+            words, piece = parts.flatten(), pc.list_parent_indices(parts)
+            full = pc.not_equal(words, "")
+            yield lang.as_py(), words.filter(full), piece.filter(full).to_numpy()
 
 
 class Leaves:
     """Different leaves in order, as numbers of words in ``words`` from 1 on (0: none, the piece has ended), with their counts."""
 
-    def __init__(self, words: pa.Array, columns: list[np.ndarray], counts: np.ndarray):
-        """Of leaves in any order; equal ones are added up."""
-        n = len(words) + 1
-        if n ** len(columns) < 2**63:
+    def __init__(self, words: pa.Array, columns: list[np.ndarray], counts: np.ndarray | None = None):
+        """Of leaves in any order, each once or as often as ``counts``; equal ones are added up."""
+        n, self.words, self._of_word = len(words) + 1, words, None
+        if packs := n ** len(columns) < 2**63:
             key = columns[0].astype(np.int64)
             for c in columns[1:]:
                 key = key * n + c
-            order = np.argsort(key, kind="stable")
-        else:
-            order = np.lexsort(columns[::-1])
-        columns = [c[order] for c in columns]
+        if packs and counts is None:
+            key.sort()
+            starts = self._changes([key])
+            self.counts, key = np.diff(starts, append=len(key)), key[starts]
+            self.columns = []
+            for _ in columns:
+                key, c = np.divmod(key, n)
+                self.columns.insert(0, c.astype(np.int32))
+            return
+        order = np.argsort(key) if packs else np.lexsort(columns[::-1])
+        columns = [c[order].astype(np.int32) for c in columns]
         starts = self._changes(columns)
-        self.words, self.columns = words, [c[starts] for c in columns]
-        self.counts = np.add.reduceat(counts[order], starts) if len(starts) else counts
+        self.columns, counts = [c[starts] for c in columns], np.ones(len(order), np.int64) if counts is None else counts[order]
+        self.counts = np.add.reduceat(counts, starts) if len(starts) else counts
 
     @staticmethod
     def _changes(columns: list[np.ndarray]) -> np.ndarray:
@@ -90,10 +101,11 @@ class Leaves:
     def hashes(self, lang: str, k: int, at: np.ndarray | None = None) -> np.ndarray:
         """Of the first k words of leaves, and the language."""
         columns = self.columns if at is None else [c[at] for c in self.columns]
-        of_word = pd.util.hash_array(np.array(["", *self.words.to_pylist()], object), categorize=False)
+        if self._of_word is None:
+            self._of_word = pd.util.hash_array(np.array(["", *self.words.to_pylist()], object), categorize=False)
         found = np.full(len(columns[0]), pd.util.hash_array(np.array([lang], object), categorize=False)[0])
         for c in columns[:k]:
-            found = (found ^ of_word[c]) * np.uint64(0x9E3779B97F4A7C15)
+            found = (found ^ self._of_word[c]) * np.uint64(0x9E3779B97F4A7C15)
             found ^= found >> np.uint64(29)
         return found
 
@@ -110,17 +122,17 @@ def leaves_of(batches: Iterator[pa.RecordBatch], max_words: int) -> Iterator[tup
                 n = min(AT_ONCE, len(words) - start)
                 coded = words.slice(start, n + max_words - 1).dictionary_encode()
                 order = pc.sort_indices(coded.dictionary)
-                rank = np.empty(len(order), np.int64)
-                rank[order.to_numpy()] = np.arange(1, len(order) + 1)
+                rank = np.empty(len(order), np.int32)
+                rank[order.to_numpy()] = np.arange(1, len(order) + 1, dtype=np.int32)
                 ids, own = rank[coded.indices.to_numpy()], piece[start : start + n + max_words - 1]
                 columns = [ids[:n]]
                 for k in range(1, max_words):
-                    ahead = np.zeros(n, np.int64)
+                    ahead = np.zeros(n, np.int32)
                     more = min(n, len(ids) - k)
                     if more > 0:
                         ahead[:more] = np.where(own[k : k + more] == own[:more], ids[k : k + more], 0)
                     columns.append(ahead)
-                yield lang, n, Leaves(coded.dictionary.take(order), columns, np.ones(n, np.int64))
+                yield lang, n, Leaves(coded.dictionary.take(order), columns)
 
 
 def extended_prefixes(plain: DataFrame, max_words: int, budget: int, most_extended: int) -> tuple[list[np.ndarray], int, int]:
@@ -155,17 +167,30 @@ def extended_prefixes(plain: DataFrame, max_words: int, budget: int, most_extend
 RUN = pa.schema([("group", pa.int32()), ("lang", pa.string()), ("words", pa.binary()), ("numbers", pa.binary())])
 
 
+def _squeezed(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _released(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
 def _packed(leaves: Leaves, at: np.ndarray) -> tuple[bytes, bytes]:
     columns = [c[at] for c in leaves.columns]
-    used = np.unique(np.concatenate([[0], *columns]))
-    numbers = np.concatenate([*(np.searchsorted(used, c) for c in columns), leaves.counts[at]]).astype("<i4")
-    words = "\n".join(leaves.words.take(pa.array(used[1:] - 1)).to_pylist())
-    return zlib.compress(words.encode(), 1), zlib.compress(numbers.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)  # bytes of one rank together
+    is_used = np.zeros(len(leaves.words) + 1, bool)
+    for c in columns:
+        is_used[c] = True
+    is_used[0] = True
+    place = (np.cumsum(is_used) - 1).astype("<i4")
+    numbers = np.concatenate([*(place[c] for c in columns), leaves.counts[at].astype("<i4")])
+    words = "\n".join(leaves.words.take(pa.array(np.flatnonzero(is_used)[1:] - 1)).to_pylist())
+    return _squeezed(words.encode()), _squeezed(numbers.view(np.uint8).reshape(-1, 4).T.tobytes())  # bytes of one rank together
 
 
 def _unpacked(words: bytes, numbers: bytes, max_words: int) -> tuple[list[str], list[np.ndarray]]:
-    flat = np.ascontiguousarray(np.frombuffer(zlib.decompress(numbers), np.uint8).reshape(4, -1).T).view("<i4").ravel()
-    return zlib.decompress(words).decode().split("\n"), np.split(flat.astype(np.int64), max_words + 1)
+    flat = np.ascontiguousarray(np.frombuffer(_released(numbers), np.uint8).reshape(4, -1).T).view("<i4").ravel()
+    *columns, counts = np.split(flat, max_words + 1)
+    return _released(words).decode().split("\n"), [*columns, counts.astype(np.int64)]
 
 
 def leaf_runs(plain: DataFrame, extended, n_groups: int, max_words: int) -> DataFrame:
@@ -203,9 +228,9 @@ def subtree_nodes(runs: DataFrame, extended, max_words: int, least: int) -> Data
         out: list[tuple[str, int, str, int]] = []
         for lang, runs_ in by_lang.items():
             coded = pa.array([w for words, _ in runs_ for w in words]).dictionary_encode()
-            ids, at, columns = coded.indices.to_numpy() + 1, 0, []
+            ids, at, columns = coded.indices.to_numpy() + np.int32(1), 0, []
             for words, numbers in runs_:
-                own = np.concatenate([[0], ids[at : at + len(words)]])
+                own = np.concatenate([np.zeros(1, np.int32), ids[at : at + len(words)]])
                 columns.append([own[c] for c in numbers[:-1]] + [numbers[-1]])
                 at += len(words)
             *columns, counts = (np.concatenate(c) for c in zip(*columns, strict=True))
