@@ -52,7 +52,7 @@ UNITS = r"^ ?(?:%|€|\$|£|kg|km|cm|mm|mb|gb|ms|years?|pages?|items?|times|euro
 FORMATS = r"^(?:\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}-[0-9]{2}-[0-9]{4}|0[0-9](?:[ .-][0-9]{2}){4}|0[0-9]{2,4}[ -][0-9]{5,8})$"
 NO_FORMATS = r"^(?:(?:19|20)[0-9]{2}[.-][0-9]{1,2}[.-][0-9]{1,2}|[0-9]{1,2}[.-][0-9]{1,2}[.-](?:19|20)?[0-9]{2}|[0-9]+\.[0-9]+|[0-9]{1,3}(?:\.[0-9]{3})+)$"
 
-LABELERS = ("format", "checksum", "gazetteer", "cue", "unit", "variety")
+LABELERS = ("format", "checksum", "gazetteer", "cue", "unit", "unlikely")
 #: How sure a labeler is taken to be before any data, and by how many cases; and the share of candidates that are personal data.
 TRUST, CASES, SHARE, ROUNDS = 0.8, 50.0, {"number": 0.2, "person": 0.1, "address": 0.6}, 40
 BUCKETS, BINS, LEAST_LOGIT = 4_096, 320, 0.0
@@ -104,9 +104,9 @@ def judged(found: DataFrame) -> DataFrame:
     of_base = F.col("kind") < len(BASE)
     sure = lambda c: F.coalesce(c, F.lit(False))
     good = found.withColumn("digits", F.when(F.col("kind").isin(2, 3, 4), d)).withColumn("sound", sure(sound & F.col("kind").isNotNull())).withColumn("base", sure(of_base) & F.col("sound"))
-    order = Window.partitionBy("row").orderBy("start", F.desc("base"))
-    before = F.max(F.when(F.col("base"), F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.min(F.when(F.col("base"), F.col("start"))).over(order.rowsBetween(1, Window.unboundedFollowing))
+    so_far = lambda *order: Window.partitionBy("row").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.max(F.when(F.col("base"), F.col("end"))).over(so_far("start", F.desc("base")))
+    after = F.min(F.when(F.col("base"), F.col("start"))).over(so_far(F.desc("start"), "base"))  # a frame that looks ahead would take the square of the rows
     touched = sure(before > F.col("start")) | sure(after < F.col("end"))
     return good.withColumn("candidate", F.col("sound") & ~F.col("base") & ~touched).drop("sound")
 
@@ -126,12 +126,12 @@ def votes() -> dict[str, Column]:
     long = kind("number") & (n >= 12)
     differing = F.size(F.array_distinct(F.split(digits, "")))
     return {
-        "format": vote(kind("address") | (kind("number") & match.rlike(FORMATS)), kind("number") & (match.rlike(NO_FORMATS) | match.contains("  "))),
+        "format": vote(kind("address") | (kind("number") & match.rlike(FORMATS)), kind("number")),
         "checksum": vote(long & luhn(digits), long),
-        "gazetteer": vote((kind("person") & is_in(words[0], FIRST_NAMES)) | (kind("address") & (F.size(words) >= 3)), kind("person") & named),
+        "gazetteer": vote((kind("person") & is_in(words[0], FIRST_NAMES)) | (kind("address") & (F.size(words) >= 3)), kind("person")),
         "cue": vote(before.rlike(rf"(?<![\p{{L}}])(?:{_any(CUES)})[^\p{{L}}]{{0,4}}$"), before.rlike(rf"(?<![\p{{L}}])(?:{_any(COUNTER_CUES)})[^\p{{L}}]{{0,4}}$")),
         "unit": vote(F.lit(False), after.rlike(UNITS)),
-        "variety": vote(F.lit(False), (kind("number") & (differing <= 3)) | (kind("person") & (F.size(F.array_distinct(words)) < F.size(words)))),
+        "unlikely": vote(F.lit(False), (kind("number") & ((differing <= 3) | match.rlike(NO_FORMATS) | match.contains("  "))) | (kind("person") & (named | (F.size(F.array_distinct(words)) < F.size(words))))),
     }
 
 
