@@ -9,6 +9,7 @@ from pyspark.sql import SparkSession
 from .config import FilterConfig, GraphConfig
 from .operators.unitigs import unitig_sequences
 from .plans.assembly import assemble, filter_metrics, filter_paf
+from .plans.lineage import release
 from .sources.alignments import read_fastq, read_overlaps, read_paf, write_overlaps
 from .sources.sinks import dot_lines, fasta_lines, gfa_lines, write_lines
 
@@ -62,6 +63,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
     write_lines(fasta_lines(sequences), f"{a.output_dir}/{a.output_prefix}.fa")
     write_lines(gfa_lines(sequences, done.unitigs.edges), f"{a.output_dir}/{a.output_prefix}.gfa")
     done.metrics.show(200, False)
+    release(spark)
 
 
 if __name__ == "__main__":

@@ -22,3 +22,5 @@ class GraphConfig:
     cleanup_iterations: int = 2
     short_edge_ratio: float = 0.8
     tip_mode: str = "first"  # or "walk"
+    max_component_edges: int | None = None  # of a neighbourhood of bubbles; more is an error
+    unitig_order: str = "branch-first"  # or "sequential"

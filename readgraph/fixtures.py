@@ -96,9 +96,9 @@ def _from_orders(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 
 def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows are written once a session and folder: the range join that makes them is no part of any operator."""
-    return kept(spark, f"alignments of {sf_dir}", lambda: _from_orders(spark, sf_dir, ALIGNMENTS_SQL))
+    return kept(spark, f"alignments of {sf_dir}", lambda: _from_orders(spark, sf_dir, ALIGNMENTS_SQL), f"{sf_dir}/orders.parquet")
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``read_name, seq``, written once a session and folder."""
-    return kept(spark, f"reads of {sf_dir}", lambda: _from_orders(spark, sf_dir, READS_SQL.replace("{genome}", GENOME_SPARK)))
+    return kept(spark, f"reads of {sf_dir}", lambda: _from_orders(spark, sf_dir, READS_SQL.replace("{genome}", GENOME_SPARK)), f"{sf_dir}/orders.parquet")

@@ -86,9 +86,17 @@ def _remove(spark: SparkSession, paths: list[str]) -> None:
         place.getFileSystem(conf).delete(place, True)
 
 
-def kept(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """What ``build`` gives, written once a session; written anew if the folder has been removed meanwhile."""
-    key = (spark.sparkContext.applicationId, name)
+def changed(spark: SparkSession, path: str) -> int:
+    """When a table's files, or the folder itself, were last changed; in milliseconds."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    status = files.getFileStatus(place)
+    return max([status.getModificationTime(), *(f.getModificationTime() for f in files.listStatus(place))])
+
+
+def kept(spark: SparkSession, name: str, build: Callable[[], DataFrame], source: str | None = None) -> DataFrame:
+    """What ``build`` gives, written once a session; written anew if the folder has been removed meanwhile, or ``source`` has changed."""
+    key = (spark.sparkContext.applicationId, f"{name} as of {changed(spark, source)}" if source else name)
     if key in _kept:
         try:
             return spark.read.parquet(_kept[key])

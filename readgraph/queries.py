@@ -144,7 +144,7 @@ CLEAN = stages(3, SYMMETRIC)
 
 
 def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kept(spark, f"overlaps of {sf_dir}", lambda: overlaps.find_overlaps(alignments(spark, sf_dir), FILTER))
+    return kept(spark, f"overlaps of {sf_dir}", lambda: overlaps.find_overlaps(alignments(spark, sf_dir), FILTER), f"{sf_dir}/orders.parquet")
 
 
 def _graph(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], graph.Graph]) -> graph.Graph:
@@ -156,7 +156,7 @@ def _graph(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], grap
             made.append(build())
         return made[0][i]
 
-    return graph.Graph(*(kept(spark, f"{name} {p} of {sf_dir}", lambda i=i: part(i)) for i, p in enumerate(("nodes", "edges"))))
+    return graph.Graph(*(kept(spark, f"{name} {p} of {sf_dir}", lambda i=i: part(i), f"{sf_dir}/orders.parquet") for i, p in enumerate(("nodes", "edges"))))
 
 
 def _raw(spark: SparkSession, sf_dir: str) -> graph.Graph:

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
+from ..operators.numbering import sums_before
+from ..plans.lineage import materialize
+
 #: The first twelve columns, by kind.
 PAF = [
     ("query_name", "string"), ("query_length", "u32"), ("query_start", "i64"), ("query_end", "i64"), ("strand", "char"), ("target_name", "string"),
@@ -61,15 +64,10 @@ def read_fastq(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_fastq(lines: DataFrame) -> DataFrame:
     """Reads of text lines (``value``) in the order of ``place`` (a struct of file, block and row)."""
-    spark = lines.sparkSession
     splits = lines.groupBy("place.file", "place.block").agg(F.count(F.lit(1)).alias("n"), F.min("place.row").alias("first"))
-    # one row per split of the input, so that the driver can sum them up
-    before, total = [], 0
-    for r in splits.orderBy("file", "block").collect():
-        before.append((r["file"], r["block"], r["first"], total))
-        total += r["n"]
-    offsets = spark.createDataFrame(before, "file string, block bigint, first bigint, before bigint")
-    numbered = lines.join(F.broadcast(offsets), (lines["place.file"] == offsets["file"]) & (lines["place.block"] == offsets["block"]))
+    offsets = materialize(sums_before(splits, ["file", "block"], "n", "before").drop("n"), "fastq-splits")
+    # one row a split, which Spark broadcasts only while the table is small
+    numbered = lines.withColumns({"file": F.col("place.file"), "block": F.col("place.block")}).join(offsets, ["file", "block"])
     line = F.col("place.row") - F.col("first") + F.col("before")
     records = numbered.select("value", line.alias("line")).withColumn("record", F.floor(F.col("line") / 4)).withColumn("part", F.col("line") % 4).filter("part < 2")
     whole = records.groupBy("record").agg(F.max(F.when(F.col("part") == 0, F.col("value"))).alias("header"), F.max(F.when(F.col("part") == 1, F.col("value"))).alias("seq"))

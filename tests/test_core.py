@@ -1,8 +1,10 @@
 """Operators on hand-built tables, against values worked out by hand or by a plain model."""
 
 import random
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from readgraph.config import FilterConfig, GraphConfig
 from readgraph.functions.sequences import percent_identity, rc_node, rev_comp
@@ -378,6 +380,55 @@ def test_bubbles_by_neighbourhood(spark, seed):
     assert want and near.count() < len(edges)
 
 
+def test_edges_without_a_sound_identity(spark):
+    """They are never the best of a source; where no edge is sound, none stays."""
+    nan = float("nan")
+    rows = [("a+", "b+", 1, 10, nan), ("a+", "c+", 2, 10, nan), ("d+", "e+", 1, 10, nan), ("f+", "g+", 3, 10, nan), ("f+", "h+", 4, 10, 80.0)]
+    g = make(spark, rows, twins=False)
+    assert ends(graph.weak_edges(g)) == [("a+", "b+"), ("a+", "c+"), ("f+", "g+")]
+
+
+def test_triangles_of_a_hub(spark):
+    """A hub of 40,000 edges in and out has 1.6 billion ways through it; its triangles are found from the other nodes."""
+    n = 40_000
+    spokes = spark.range(n).select(F.lit("h+").alias("src"), F.format_string("s%d+", "id").alias("dst"), F.lit(100).cast("long").alias("edge_len"))
+    back = spokes.select(F.col("dst").alias("src"), F.lit("h+").alias("dst"), F.lit(7).cast("long").alias("edge_len"))
+    some = spark.range(0, n, 1_000).select(F.format_string("s%d+", "id").alias("src"), F.format_string("s%d+", F.col("id") + 1).alias("dst"), F.lit(50).cast("long").alias("edge_len"))
+    edges = spokes.union(back).union(some)
+    _, plain = reduction.numbered_edges(edges)
+    assert reduction.triangles(plain).count() == 3 * 40  # of each spoke joined with the next: over the hub, to it, and from it
+
+
+def test_fastq_in_many_splits(spark, tmp_path):
+    for part in range(3):
+        (tmp_path / f"{part}.fq").write_text("".join(f"@r{part}_{i}\n{'ACGT' * (i % 5 + 1)}\n+\n{'I' * 4}\n" for i in range(500)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        got = {r["read_name"]: r["seq"] for r in read_fastq(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {f"r{p}_{i}": "ACGT" * (i % 5 + 1) for p in range(3) for i in range(500)}
+
+
+def test_tables_of_rounds(spark, tmp_path):
+    from readgraph.plans import lineage
+
+    since = lineage.mark(spark)
+    tables = [lineage.materialize(spark.range(i), "a-round") for i in range(3)]
+    assert lineage.trim(spark, since, 1) == 2 and tables[2].count() == 2
+    held = lineage.bucketed(spark.range(100), "in-buckets", 4, "id")
+    joined = held.join(lineage.bucketed(spark.range(50), "in-buckets", 4, "id"), "id").hint("merge")
+    assert joined.count() == 50 and lineage.counted(spark.range(7), "counted")[1] == 7 and lineage.counted(spark.range(0), "counted")[1] == 0
+    source, made = str(tmp_path / "source"), []
+    spark.range(3).write.parquet(source)
+    get = lambda: lineage.kept(spark, "of a source", lambda: made.append(1) or spark.read.parquet(source), source)
+    assert get().count() == get().count() == 3 and len(made) == 1
+    time.sleep(1.1)
+    spark.range(5).write.mode("overwrite").parquet(source)
+    assert get().count() == 5 and len(made) == 2
+
+
 def test_many_singletons(spark):
     """All nodes without an edge, and those with a loop only; not those that bubble removal leaves joined."""
     diamond = [("s+", "x+", 5, 100, 90), ("x+", "t+", 5, 300, 90), ("s+", "y+", 6, 100, 90), ("y+", "t+", 5, 100, 90), ("y+", "z+", 5, 100, 90)]
