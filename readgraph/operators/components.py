@@ -22,8 +22,7 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     grow with their logarithm and their work with their number; it goes on until no edge is left, at every size. The
     representatives are then followed back from the last round to the first. Rounds are written to the shared folder, and
     their edges counted as they are written, which tells how many tasks the next round is worth; the joins are equi-joins on
-    node ids, so the edges of a hub are split by
-    Spark's skew join.
+    node ids, so the edges of a hub are split by Spark's skew join.
     """
     return contracted(edges, src, dst)[0]
 
