@@ -100,14 +100,14 @@ def test_malformed_pages_on_spark(spark):
     [("<![foo[x]]>", "some text"), ("<!DOCTYPE [ <", "some text"), ("<!-- open <p>more", "some text"), ("<?php x", "some text"), ("</", "some text"), ("<div class='x", "some text"), ("<![", "some text"), ("<![CDATA[ a > b ]]>", "some text"), (" 1 < ", "some text\n1 <"), ("<script>if (a<b) {", "some text"), ("a &amp", "some text\na &"), ("<![foo[x]]><p>more", "some text\nmore"), ("<![CDATA[x<p>more", "some text\nmore")],
 )
 def test_unfinished_markup(end, text):
-    assert h.extract("<p>some text</p>" + end).replace("text\n]]", "text") == text
+    assert h.extract("<p>some text</p>" + end) == text
 
 
 @pytest.mark.parametrize(
     "part", ["<div>", "<div>text ", "<table><tr><td>x", "<section><div>", "<a href=x>t<div>", "<h1><article class=sidebar>x", "<p><b>", "<a ", "<!--", "&#", "<![foo[", "<td>x</td></section>"]
 )
 def test_time_grows_with_length(part):
-    """Twice the page takes about twice the time, however deep it is nested."""
+    """A page of 100,000 parts takes seconds, and four times one of 25,000 at most six times as long, however deep it is nested."""
 
     def seconds(n):
         began = time.process_time()
@@ -115,4 +115,5 @@ def test_time_grows_with_length(part):
         return time.process_time() - began
 
     seconds(1000)
-    assert seconds(100_000) < 20
+    quarter, whole = seconds(25_000), seconds(100_000)
+    assert whole < 20 and whole < 6 * max(quarter, 0.5)

@@ -733,8 +733,29 @@ def test_stages_with_awkward_rows(spark, tmp_path):
         assert run_(stage, df.limit(0)).count() == 0
 
 
-def plain_random(text, model):
-    """Random spans by going over all stretches of each run that base spans leave: what is reported is random by the models, and no run that is random as a whole goes unreported."""
+def test_best_stretch_of_all(spark):
+    """Of all stretches of a run, listed one by one, the one with the largest sum is found, or the better side of where it loses as much as a stretch needs; what is found is random enough."""
+    rng = random.Random(6)
+    model = secrets.RandomStrings(secrets.default_samples())
+    found = 0
+    for _ in range(400):
+        run = "".join(rng.choice([rng.choice(secrets.WORDS), "".join(rng.choices(secrets.ALPHABET[:62], k=rng.randint(4, 14))), "_", "/"]) for _ in range(rng.randint(1, 5)))[:45]
+        states = [0, *(secrets.MarkovModel.place[c] for c in run)]
+        gains = [model.gain_of[a][b] for a, b in zip(states, states[1:], strict=False)]
+        best = max((sum(gains[s:e]), s - e, s, e) for s in range(len(run)) for e in range(s + 1, len(run) + 1))
+        reported = list(model._best(run))
+        for s, e in reported:
+            assert sum(gains[s:e]) + secrets.LEAST_PER_CHAR * (e - s) >= secrets.LEAST_RATIO - 1e-9
+        if best[0] + secrets.LEAST_PER_CHAR * (best[3] - best[2]) >= secrets.LEAST_RATIO + 1e-9:
+            found += 1
+            s, e = max((x for x in reported if x[0] < best[3] and x[1] > best[2]), key=lambda x: sum(gains[x[0] : x[1]]))
+            drop = max((sum(gains[a:b]) * -1 for a in range(best[2], best[3]) for b in range(a + 1, best[3] + 1)), default=0)
+            assert sum(gains[s:e]) == pytest.approx(best[0]) or drop >= secrets.LEAST_RATIO or sum(gains[s:e]) >= best[0] / 2
+    assert found > 50
+
+
+def runs_left(text):
+    """The runs of characters that base spans leave."""
     covered = {i for s, _, e in secrets.base_spans(text) for i in range(s, e)}
     runs, at = [], None
     for i, c in enumerate(text + " "):
@@ -758,7 +779,7 @@ def test_random_spans_against_the_models(spark):
         words_.insert(rng.randrange(30), token)
         text = " ".join(words_)
         spans = secrets.random_spans(text, secrets.base_spans(text), found)
-        runs = plain_random(text, found)
+        runs = runs_left(text)
         total += 1
         for start, kind, end in spans:
             assert kind == 3 and any(a <= start < end <= b for a, b in runs)
