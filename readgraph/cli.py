@@ -7,11 +7,11 @@ import argparse
 from pyspark.sql import SparkSession
 
 from .config import FilterConfig, GraphConfig
-from .operators.unitigs import unitig_sequences
+from .operators.unitigs import sequence_chunks
 from .plans.assembly import assemble, filter_metrics, filter_paf
-from .plans.lineage import release
+from .plans.lineage import materialize, release
 from .sources.alignments import read_fastq, read_overlaps, read_paf, write_overlaps
-from .sources.sinks import dot_lines, fasta_lines, gfa_lines, write_lines
+from .sources.sinks import dot_lines, fasta_chunks, gfa_chunks, write_chunks, write_lines
 
 
 def parser() -> argparse.ArgumentParser:
@@ -33,6 +33,7 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("-i", "--min-percent-identity", type=float, default=d.min_percent_identity)
         p.add_argument("--overhang-ratio", type=float, default=d.overhang_ratio)
     d = GraphConfig()
+    building.add_argument("--unitig-order", choices=("branch-first", "sequential"), default=d.unitig_order)
     for name in ("max_bubble_length", "max_tip_len", "fuzz", "cleanup_iterations"):
         building.add_argument("--" + name.replace("_", "-"), type=int, default=getattr(d, name))
     for name in ("min_support_ratio", "short_edge_ratio"):
@@ -56,12 +57,13 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
         overlaps = read_overlaps(spark, path)
     else:
         raise SystemExit("assemble needs --input-paf or --overlaps")
-    config = GraphConfig(a.max_bubble_length, a.min_support_ratio, a.max_tip_len, a.fuzz, a.cleanup_iterations, a.short_edge_ratio)
+    config = GraphConfig(a.max_bubble_length, a.min_support_ratio, a.max_tip_len, a.fuzz, a.cleanup_iterations, a.short_edge_ratio, unitig_order=a.unitig_order)
     done = assemble(overlaps, config)
     write_lines(dot_lines(done.graph), f"{a.output_dir}/graph.dot")
-    sequences = unitig_sequences(done.unitigs.unitigs, done.unitigs.members, done.graph, read_fastq(spark, a.reads_fq))
-    write_lines(fasta_lines(sequences), f"{a.output_dir}/{a.output_prefix}.fa")
-    write_lines(gfa_lines(sequences, done.unitigs.edges), f"{a.output_dir}/{a.output_prefix}.gfa")
+    found = done.unitigs
+    chunks = materialize(sequence_chunks(found.members, done.graph, read_fastq(spark, a.reads_fq)), "chunks")
+    write_chunks(fasta_chunks(found.unitigs, chunks), f"{a.output_dir}/{a.output_prefix}.fa")
+    write_chunks(gfa_chunks(found.unitigs, chunks, found.edges), f"{a.output_dir}/{a.output_prefix}.gfa")
     done.metrics.show(200, False)
     release(spark)
 

@@ -13,7 +13,7 @@ from .operators import bubbles, components, filtering, graph, overlaps, paths, r
 from .plans.assembly import assemble, filter_metrics
 from .plans.lineage import kept, materialize, new_folder
 from .sources.alignments import PAF, parse_paf, read_fastq, read_overlaps, read_paf, write_overlaps
-from .sources.sinks import dot_lines, fasta_lines, gfa_lines
+from .sources.sinks import dot_lines, fasta_chunks as fasta_in_chunks, fasta_lines, gfa_chunks as gfa_in_chunks, gfa_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -622,6 +622,53 @@ def gfa(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gfa_lines(sequences, found.edges)
 
 
+#: Bases of a row in the queries of chunks, as the unitigs of these tables are short.
+PART = 50
+CHUNKS = f"""chunks AS (SELECT unitig_id, part, substr(sequence, part * {PART} + 1, {PART}) AS text
+           FROM (SELECT *, unnest(range((length(sequence) + {PART} - 1) // {PART})) AS part FROM sequences)),
+line_ends AS (SELECT *, (length(sequence) + {PART} - 1) // {PART} AS part FROM sequences)"""
+
+
+def _chunks(spark: SparkSession, sf_dir: str) -> tuple[unitigs.Unitigs, DataFrame]:
+    clean = _clean(spark, sf_dir)
+    found = unitigs.compress(clean)
+    return found, materialize(unitigs.sequence_chunks(found.members, clean, reads(spark, sf_dir), PART), "chunks")
+
+
+@query(CLEAN + UNITIGS + ", " + CHUNKS + " SELECT * FROM chunks")
+def sequence_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of unitigs in parts, so that no row grows with a unitig's length."""
+    return _chunks(spark, sf_dir)[1]
+
+
+@query(
+    CLEAN
+    + UNITIGS
+    + ", "
+    + CHUNKS
+    + """ SELECT * FROM chunks UNION ALL SELECT unitig_id, -1, concat('>unitig_', unitig_id, ' len=', length(sequence), 'bp', chr(10)) FROM sequences
+UNION ALL SELECT unitig_id, part, chr(10) FROM line_ends"""
+)
+def fasta_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, chunks = _chunks(spark, sf_dir)
+    return fasta_in_chunks(found.unitigs, chunks)
+
+
+@query(
+    CLEAN
+    + UNITIGS
+    + ", "
+    + CHUNKS
+    + """ SELECT 0 AS section, CAST(0 AS BIGINT) AS a, CAST(0 AS BIGINT) AS b, concat('H', chr(9), 'VN:Z:1.0', chr(10)) AS text
+UNION ALL SELECT 1, unitig_id, -1, concat('S', chr(9), 'unitig_', unitig_id, chr(9)) FROM sequences
+UNION ALL SELECT 1, unitig_id, part, text FROM chunks UNION ALL SELECT 1, unitig_id, part, chr(10) FROM line_ends
+UNION ALL SELECT 2, from_id, to_id, concat('L', chr(9), 'unitig_', from_id, chr(9), '+', chr(9), 'unitig_', to_id, chr(9), '+', chr(9), overlap_len, 'M', chr(10)) FROM unitig_edges"""
+)
+def gfa_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, chunks = _chunks(spark, sf_dir)
+    return gfa_in_chunks(found.unitigs, chunks, found.edges)
+
+
 @query(
     CLEAN
     + """SELECT 0 AS section, a, '' AS b, line FROM (VALUES ('0', 'digraph OverlapGraph {'), ('1', '  rankdir=LR;'), ('2', '  node [shape=box fontname="Helvetica"];'),

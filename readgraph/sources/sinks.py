@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.column import Column
 
 from ..functions.sequences import degree_color, escape_dot
 from ..operators.graph import Graph
+from .chunks import ChunkSource
 
 
 def dot_lines(graph: Graph) -> DataFrame:
@@ -41,3 +43,32 @@ def write_lines(lines: DataFrame, path: str) -> None:
     """A folder of text parts that follow each other by name; the order of the columns before ``line``."""
     order = [c for c in lines.columns if c != "line"]
     lines.orderBy(*order).select("line").write.mode("overwrite").text(path)
+
+
+def _framed(unitigs: DataFrame, chunks: DataFrame, head: Column) -> DataFrame:
+    """``unitig_id, part, text``: chunks between a head (part -1), which may use the column ``bases``, and the line's end."""
+    sizes = chunks.groupBy("unitig_id").agg(F.sum(F.length("text")).alias("bases"), (F.max("part") + 1).alias("end"))
+    known = unitigs.select("unitig_id").join(sizes, "unitig_id", "left").select("unitig_id", F.coalesce("bases", F.lit(0)).alias("bases"), F.coalesce("end", F.lit(0)).cast("long").alias("end"))
+    row = lambda part, text: F.struct(part.cast("long").alias("part"), text.alias("text"))
+    frame = known.select("unitig_id", F.inline(F.array(row(F.lit(-1), head), row(F.col("end"), F.lit("\n")))))
+    return frame.unionByName(chunks.select("unitig_id", F.col("part").cast("long").alias("part"), "text"))
+
+
+def fasta_chunks(unitigs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``unitig_id, part, text``: in order of the first two, the texts after each other are the file of ``fasta_lines``."""
+    return _framed(unitigs, chunks, F.format_string(">unitig_%d len=%dbp\n", "unitig_id", "bases"))
+
+
+def gfa_chunks(unitigs: DataFrame, chunks: DataFrame, edges: DataFrame) -> DataFrame:
+    """``section, a, b, text``: in order of the first three, the texts after each other are the file of ``gfa_lines``."""
+    segments = _framed(unitigs, chunks, F.format_string("S\tunitig_%d\t", "unitig_id")).select(F.lit(1).alias("section"), F.col("unitig_id").alias("a"), F.col("part").alias("b"), "text")
+    empty = segments.limit(0).select(F.col("a").alias("unitig_id"), F.col("text").alias("sequence"))
+    lines = gfa_lines(empty, edges).select("section", "a", "b", F.concat("line", F.lit("\n")).alias("text"))
+    return lines.unionByName(segments)
+
+
+def write_chunks(chunks: DataFrame, path: str) -> None:
+    """As ``write_lines``, for a column ``text`` that brings its own line ends; a line may go on in the next part."""
+    chunks.sparkSession.dataSource.register(ChunkSource)
+    order = [c for c in chunks.columns if c != "text"]
+    chunks.orderBy(*order).select("text").write.format(ChunkSource.name()).mode("overwrite").option("path", path).save()

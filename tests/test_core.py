@@ -10,7 +10,7 @@ from readgraph.config import FilterConfig, GraphConfig
 from readgraph.functions.sequences import percent_identity, rc_node, rev_comp
 from readgraph.operators import bubbles, components, filtering, graph, overlaps, paths, reduction, tips, unitigs
 from readgraph.sources.alignments import parse_paf, read_fastq, read_paf
-from readgraph.sources.sinks import dot_lines, fasta_lines, gfa_lines, write_lines
+from readgraph.sources.sinks import dot_lines, fasta_chunks, fasta_lines, gfa_chunks, gfa_lines, write_chunks, write_lines
 
 EDGE = "src string, dst string, edge_len bigint, overlap_len bigint, identity double"
 
@@ -327,6 +327,42 @@ def test_sequences_and_files(spark, tmp_path):
         unitigs.unitig_sequences(found.unitigs, found.members, g, spark.createDataFrame([("a", "AA"), ("b", "CGGTTAAA"), ("c", "GTT")], "read_name string, seq string")).collect()
 
 
+@pytest.mark.parametrize(("chunk", "block"), [(1, 4096), (7, 3), (64, 2), (8192, 4096)])
+def test_sequences_in_chunks(spark, tmp_path, monkeypatch, chunk, block):
+    """The files written from chunks of any size are those of whole sequences."""
+    monkeypatch.setattr(unitigs, "BLOCK", block)
+    rng = random.Random(chunk)
+    names = [f"n{i:02d}" for i in range(24)]
+    chain = [(f"{s}+", f"{d}+", rng.choice([0, 1, 5, 30]), 9) for s, d in zip(names, names[1:], strict=False) if d != "n15"]
+    g = make(spark, chain, nodes=["x+"])
+    reads = spark.createDataFrame([(n, "".join(rng.choice("ACGT") for _ in range(rng.choice([30, 45])))) for n in [*names, "x"]], "read_name string, seq string")
+    found = unitigs.compress(g)
+    seqs = unitigs.unitig_sequences(found.unitigs, found.members, g, reads)
+    whole = {r["unitig_id"]: r["sequence"] for r in seqs.collect()}
+    chunks = unitigs.sequence_chunks(found.members, g, reads, chunk).cache()
+    rows = chunks.orderBy("unitig_id", "part").collect()
+    assert [(r["unitig_id"], r["part"], r["text"]) for r in rows] == [(i, at // chunk, s[at : at + chunk]) for i, s in sorted(whole.items()) for at in range(0, len(s), chunk)]
+    assert "" in whole.values() and max(map(len, whole.values())) > 90
+    for name, parts, lines in (("fa", fasta_chunks(found.unitigs, chunks), fasta_lines(seqs)), ("gfa", gfa_chunks(found.unitigs, chunks, found.edges), gfa_lines(seqs, found.edges))):
+        for _ in range(2):  # the second time over the first
+            write_chunks(parts.repartition(5), str(tmp_path / name))
+        want = "".join(r["line"] + "\n" for r in lines.orderBy(*[c for c in lines.columns if c != "line"]).collect())
+        assert "".join(p.read_text() for p in sorted((tmp_path / name).glob("part-*"))) == want
+        assert [p.name for p in (tmp_path / name).iterdir() if p.name.startswith("_")] == ["_SUCCESS"]
+    chunks.unpersist()
+
+
+def test_chunks_that_cannot_be_written(spark, tmp_path):
+    g = make(spark, [("a+", "b+", 3, 5)])
+    found = unitigs.compress(g)
+    with pytest.raises(Exception, match="no sequence of read b"):
+        unitigs.sequence_chunks(found.members, g, spark.createDataFrame([("a", "AACC")], "read_name string, seq string")).collect()
+    bad = spark.range(50).selectExpr("id AS part", "IF(id = 49, raise_error('torn'), 'x') AS text")
+    with pytest.raises(Exception, match="torn"):
+        write_chunks(bad, str(tmp_path / "bad"))
+    assert not list((tmp_path / "bad").glob("part-*"))
+
+
 def test_bubbles(spark):
     diamond = [("s+", "x+", 5, 100, 90), ("x+", "t+", 5, 300, 90), ("s+", "y+", 6, 100, 90), ("y+", "t+", 5, 100, 90)]
     g = make(spark, diamond)
