@@ -8,7 +8,7 @@ import pytest
 from readgraph import queries as q
 
 DATA = "/root/testdata/sf0.001"
-NAMES = ["paf_parse", "best_alignment", "read_stats", "classify_alignments", "filtering_metrics", "transitive_edges", "short_edges", "unitig_members", "gfa_chunks", "component_sizes", "multi_edges", "remove_short_edges", "remove_weak_edges", "contended_nodes", "sequential_unitigs", "fasta_chunks"]
+NAMES = ["paf_parse", "best_alignment", "read_stats", "classify_alignments", "filtering_metrics", "transitive_edges", "short_edges", "unitig_members", "gfa", "gfa_chunks", "component_sizes", "multi_edges", "remove_short_edges", "remove_weak_edges", "contended_nodes", "sequential_unitigs", "fasta_chunks"]
 pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables")
 
 
