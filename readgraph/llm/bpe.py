@@ -21,16 +21,16 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried
+from .common import carried, held
 
 #: A worker keeps so many encoded pieces (distinct matches of the pattern) and words, and as many older ones.
-CACHE_PIECES, CACHE_WORDS = 120_000, 250_000
-CACHE_PAIRS = 1_000_000
+CACHE_PIECES, CACHE_WORDS = 60_000, 250_000
+CACHE_PAIRS = 250_000
 NEVER, SHIFT = 1 << 62, 32
 
 
@@ -40,9 +40,10 @@ class BpeModel:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.vocab = {i: b for b, i in ranks.items()}
-        self.pairs: dict[tuple[int, int], int] = {}
-        self.lefts: dict[int, list[tuple[int, int]]] = {}
-        self.rights: dict[int, list[tuple[int, int]]] = {}
+        self.pairs: dict[int, int] = {}  # by a << SHIFT | b
+        #: Each token's halves; None for one that no merge makes.
+        self.lefts: dict[int, int | None] = {}
+        self.rights: dict[int, int | None] = {}
         self._ok: dict[int, bool] = {}  # may_follow by a << SHIFT | b
         missing = [b for b in range(256) if bytes([b]) not in ranks]
         if missing:
@@ -52,26 +53,23 @@ class BpeModel:
         for token, i in sorted(ranks.items(), key=lambda x: (len(x[0]) > 1, x[1])):
             self._add(token, i)
         self._ok.clear()
-        self.merged = {b: i for b, i in ranks.items() if len(b) > 1 and i not in self.unmergeable}
         #: Tokens by their bytes from the last to the first: a tree of (tokens that end as the way to here, the longest
         #: first, as (length, id); branches by the byte before). Its first two levels are one list, by the last two bytes.
         self.endings: list[tuple | None] = [None] * 65_536
-        self._grow(sorted((token[::-1], i) for token, i in self.merged.items()))
+        self._grow(sorted((token[::-1], i) for token, i in ranks.items() if len(token) > 1 and i not in self.unmergeable))
         self.longest = max(map(len, ranks))
 
     def _add(self, token: bytes, i: int) -> None:
-        """Find the last merge that makes ``token``, and note the tokens along its two borders."""
-        self.lefts[i], self.rights[i] = [(i, NEVER)], [(i, NEVER)]
-        if len(token) == 1:
-            return
+        """Find the last merge that makes ``token``."""
         for cut in range(1, len(token)):
             a, b = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
             if a is not None and b is not None and a in self.lefts and b in self.lefts and self.may_follow(a, b):
-                self.pairs[a, b] = i
-                self.lefts[i] += [(x, i if until == NEVER else until) for x, until in self.lefts[a]]
-                self.rights[i] += [(x, i if until == NEVER else until) for x, until in self.rights[b]]
+                self.pairs[a << SHIFT | b] = i
+                self.lefts[i], self.rights[i] = a, b
                 return
-        self.unmergeable.add(i)
+        self.lefts[i] = self.rights[i] = None
+        if len(token) > 1:
+            self.unmergeable.add(i)
 
     def _grow(self, turned: list[tuple[bytes, int]]) -> None:
         way: list[tuple] = []  # nodes from two bytes on
@@ -92,21 +90,22 @@ class BpeModel:
     def may_follow(self, a: int, b: int) -> bool:
         """Whether the bytes of a and b together are encoded as a, b.
 
-        Each token along a border lives until the merge that takes it in. A pair across the border
-        that lives at the time of its own merge would be merged; of equal merges the left one is first.
+        The tokens along a border are a, its right half, that one's right half and so on, and so for b to the left.
+        Each lives until the merge that takes it in. A pair across the border that lives at the time of its own merge would be merged; of equal merges the left one is first.
         """
         found = self._ok.get(a << SHIFT | b)
         if found is None:
-            get = self.pairs.get
-            found = True
-            for x, x_until in self.rights[a]:
-                for y, y_until in self.lefts[b]:
-                    merge = get((x, y))
+            get, lefts, rights = self.pairs.get, self.lefts, self.rights
+            found, x, x_until = True, a, NEVER
+            while found and x is not None:
+                y, y_until = b, NEVER
+                while y is not None:
+                    merge = get(x << SHIFT | y)
                     if merge is not None and merge < x_until and merge <= y_until:
                         found = False
                         break
-                if not found:
-                    break
+                    y, y_until = lefts[y], y
+                x, x_until = rights[x], x
             if len(self._ok) >= CACHE_PAIRS:
                 self._ok.clear()
             self._ok[a << SHIFT | b] = found
@@ -280,7 +279,12 @@ class _Words(_Held):
         self.pieces, self.find, self.space = pieces, find, regex.compile(r"\s").match
 
     def make(self, word: str) -> bytes:
-        return b"" if not word or self.space(word) else self.matches(" " + word)
+        if not word or self.space(word):
+            return b""
+        found = self.find(" " + word)
+        if len(found) == 1:  # held as a word, so not as a piece too
+            return self.pieces.make(found[0])
+        return b"".join(map(self.pieces.__getitem__, found))
 
     def matches(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.find(text)))
@@ -291,16 +295,8 @@ class _Words(_Held):
         return self.matches(text) if b"" in parts else self.matches(first) + b"".join(parts)
 
 
-#: The coder of the last call that this process worked for, so that its tasks build tables and caches once a worker.
-_coder: tuple[str, _Words] | None = None
-
-
-def _coder_for(call: str, ranks: dict[bytes, int], pattern: str) -> _Words:
-    global _coder
-    if _coder is None or _coder[0] != call:
-        _coder = None  # freed before the next is built
-        _coder = call, _Words(_Pieces(BpeModel(ranks)), regex.compile(pattern).findall)
-    return _coder[1]
+def _coder(ranks: dict[bytes, int], pattern: str) -> _Words:
+    return _Words(_Pieces(BpeModel(ranks)), regex.compile(pattern).findall)
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", keep_ids: bool = False, split_at_spaces: bool = True) -> DataFrame:
@@ -318,20 +314,23 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     spark = docs.sparkSession
     added = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * keep_ids
     schema = "struct<n_tokens: bigint, ids_sha256: string, decoded_sha256: string" + ", ids: array<bigint>" * keep_ids + ">"
+    types = [pa.int64(), pa.string(), pa.string()] + [pa.list_(pa.int64())] * keep_ids
     shared, call = spark.sparkContext.broadcast((ranks, pattern)), uuid.uuid4().hex
 
-    def run(series_iter: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        words = _coder_for(call, *shared.value)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        words = held(call, lambda: _coder(*shared.value))
         vocab = words.pieces.model.vocab.__getitem__
-        for series in series_iter:
-            out = []
-            for value in series:
-                packed = words.text(value) if split_at_spaces else words.matches(value)
+        for batch in batches:
+            columns = [[] for _ in types]
+            for value in batch:  # one text at a time becomes a string
+                text = value.as_py()
+                packed = words.text(text) if split_at_spaces else words.matches(text)
                 ids = np.frombuffer(packed, "<u4").tolist()
-                row = (len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(b"".join(map(vocab, ids))).hexdigest())
-                out.append(row + (ids,) if keep_ids else row)
-            yield pd.DataFrame(out, columns=added)
+                row = (len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(b"".join(map(vocab, ids))).hexdigest(), ids)
+                for column, found in zip(columns, row, strict=False):
+                    column.append(found)
+            yield pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], added)
 
-    coded = F.pandas_udf(run, schema)
+    coded = F.arrow_udf(run, schema)
     numbered, named = carried(docs, text.lower(), *added)
     return docs.select(*numbered, coded(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))).alias("coded")).select(*named, "coded.*")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .common import carried, materialize
+from .common import carried, let_go, materialize
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: A pair at the threshold shares a bucket with probability 1 - (1 - 0.8**5)**20 = 0.9996.
@@ -123,6 +123,7 @@ def sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
     read = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t")).withColumn("hash", F.xxhash64("t"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()
         shingler = Shingler()
         for frame in frames:
             known: dict[bytes, bytes | None] = {}
@@ -143,6 +144,7 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
     """``node, size, shingles, weights`` of ``node, t``: ascending 64-bit hashes and 32-bit counts, packed, and their bytes."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()
         shingler = Shingler()
         for frame in frames:
             sets = [shingler.weighted(shingler.words(t)) for t in frame["t"]]
@@ -176,6 +178,7 @@ def pivot_links(members: DataFrame, sets: DataFrame, threshold: float) -> DataFr
     dealt = asks.unionByName(firsts).join(sets.drop("size"), "node").repartition("pivot", "part").sortWithinPartitions("pivot", "part", "asks")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()
         first = None
         for f in frames:
             found = []
@@ -275,6 +278,7 @@ def _links(members: DataFrame, signatures: DataFrame, sets: DataFrame, threshold
     dealt = held.unionByName(asking).join(signatures, "node").join(sets.drop("size"), "node").repartition(*keys).sortWithinPartitions(*keys)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()
         tile, at, band = ([], []), None, 0
 
         def done() -> pd.DataFrame:

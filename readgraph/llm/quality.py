@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, is_held_out
+from .common import carried, is_held_out, let_go
 from .sampling import labelled_sample
 
 CHUNK, STRIDE, WIDTH, DIM, FILTERS, HIDDEN = 256, 224, 8, 4, 24, 16
@@ -181,6 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, s
     """Fitted on about ``sample`` labelled rows outside the held-out fold; the driver gets at most SAMPLE_CHUNKS chunks of each."""
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()
         for frame in frames:
             yield pd.DataFrame({"doc_id": frame["doc_id"].astype(str), "label": frame["label"], "rows": [spread(chunks(t)).tobytes() for t in frame["text"]]})
 
@@ -202,6 +203,7 @@ def score(docs: DataFrame, model, key: str = "doc_id", text: str = "text", folds
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(series_iter: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        let_go()
         for series in series_iter:
             yield pd.Series(shared.value.scores(series), dtype="float64")
 
