@@ -2,11 +2,12 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from readgraph.config import FilterConfig
-from readgraph.operators import filtering, graph, overlaps
-from readgraph.plans import lineage
+from readgraph.config import FilterConfig, GraphConfig
+from readgraph.operators import filtering, graph, overlaps, paths
+from readgraph.plans import assembly, lineage
 
 
 def shuffle_files(spark):
@@ -84,3 +85,19 @@ def test_graph_of_unique_overlaps_compares_no_edges(spark):
     plain, unique = graph.build_graph(found), graph.build_graph(found, unique=True)
     assert rows_of(unique.edges) == rows_of(plain.edges) and rows_of(unique.nodes) == rows_of(plain.nodes)
     assert "Exchange" not in unique.edges._jdf.queryExecution().executedPlan().toString()
+
+
+def test_walks_are_counted_as_they_are_written(spark, monkeypatch):
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100)], "node long, next long")
+    monkeypatch.setattr(type(links), "count", lambda self: pytest.fail("a job for the count alone"))
+    found = {r["node"]: (r["last"], r["hops"]) for r in paths.follow(links).collect()}
+    assert found == {i: (40, 40 - i) for i in range(41)}
+
+
+def test_stored_overlaps_are_built_from_as_they_are(spark, monkeypatch):
+    config = GraphConfig(cleanup_iterations=0)
+    found = lineage.materialize(overlaps.find_overlaps(made_alignments(spark, 5), FilterConfig(5, 3, 5.0, 0.8)), "overlaps")
+    want = assembly.assemble(found, config)
+    monkeypatch.setattr(graph, "first_edges", lambda edges: pytest.fail("edges compared"))
+    done = assembly.assemble(found, config, stored=True)
+    assert rows_of(done.metrics) == rows_of(want.metrics) and rows_of(done.unitigs.members) == rows_of(want.unitigs.members)
